@@ -10,11 +10,18 @@ from pyspark.sql.streaming import StreamingQuery
 from ledgerlake.operators.silver import clean_transactions
 
 
+def _timed(transactions: DataFrame, lateness: str) -> DataFrame:
+    """Watermarks need a zoned timestamp; the session zone is UTC, so the two agree."""
+    return transactions.withColumn("event_time", F.col("timestamp").cast("timestamp")).withWatermark(
+        "event_time", lateness
+    )
+
+
 def silver_stream(
     transactions: DataFrame, path: str, checkpoint: str, lateness: str = "1 day", as_of: dt.datetime | None = None
 ) -> StreamingQuery:
     """Append new transactions to the month-partitioned table, dropping repeats within ``lateness``."""
-    once = transactions.withWatermark("timestamp", lateness).dropDuplicatesWithinWatermark(["transaction_id"])
+    once = _timed(transactions, lateness).dropDuplicatesWithinWatermark(["transaction_id"]).drop("event_time")
     return (
         clean_transactions(once, as_of)
         .writeStream.format("parquet").partitionBy("year", "month")
@@ -31,10 +38,10 @@ def totals_stream(
     A batch writes to a folder of its own and replaces it when repeated, so retries do no harm.
     """
     totals = (
-        transactions.withWatermark("timestamp", lateness)
-        .groupBy(F.window("timestamp", window).alias("period"), "category")
+        _timed(transactions, lateness)
+        .groupBy(F.window("event_time", window).alias("period"), "category")
         .agg(F.count(F.lit(1)).alias("n"), F.sum("amount_cents").alias("total_cents"))
-        .select(F.col("period.start").alias("period_start"), "category", "n", "total_cents")
+        .select(F.col("period.start").cast("timestamp_ntz").alias("period_start"), "category", "n", "total_cents")
     )
 
     def save(batch: DataFrame, batch_id: int) -> None:

@@ -26,7 +26,7 @@ def _plain(value):
     if isinstance(value, bool) or value is None:
         return value
     if isinstance(value, float):
-        return "nan" if math.isnan(value) else float(f"{value:.9g}") + 0.0
+        return "nan" if math.isnan(value) else value + 0.0
     if isinstance(value, dt.datetime):
         return value.isoformat()
     return value
