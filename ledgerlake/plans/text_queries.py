@@ -9,6 +9,7 @@ from ledgerlake.functions.vectors import norm
 from ledgerlake.operators import bm25, chunking, embeddings, requests, retrieval, vectors
 from ledgerlake.plans import standins as s
 from ledgerlake.plans.registry import query
+from ledgerlake.workspace import written
 
 _DIM = 64
 
@@ -138,7 +139,7 @@ def _bm25_ranked(k: int) -> str:
 
 
 def _index(spark: SparkSession, folder: str) -> bm25.Bm25Index:
-    return bm25.build_index(chunking.chunk(s.documents(spark, folder)))
+    return bm25.build_index(written(chunking.chunk(s.documents(spark, folder)), "chunks"))
 
 
 @query(
@@ -154,9 +155,9 @@ def bm25_stats(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query("bm25_scores", s.with_(s.DOCUMENT_CHUNKS, _BM25) + "SELECT query_id, chunk_id, score FROM scores")
+@query("bm25_scores", s.with_(s.DOCUMENT_CHUNKS, _BM25) + "SELECT query_id, chunk_id, round(score, 4) AS score FROM scores")
 def bm25_scores(spark: SparkSession, folder: str) -> DataFrame:
-    return bm25.scores(s.questions(spark, folder), _index(spark, folder)).select("query_id", "chunk_id", "score")
+    return bm25.scores(s.questions(spark, folder), _index(spark, folder)).select("query_id", "chunk_id", F.round("score", 4).alias("score"))
 
 
 @query(
