@@ -39,7 +39,7 @@ class Commit:
 
 
 def check_schema(table: T.StructType, offered: T.StructType, exact: bool = False) -> None:
-    """Reject unknown columns and changed types; missing columns pass only when nullable."""
+    """Reject unknown columns and changed types; ``exact`` also rejects missing columns."""
     known = {f.name: f for f in table}
     problems = [f"unknown column {f.name}" for f in offered if f.name not in known]
     problems += [
@@ -48,9 +48,7 @@ def check_schema(table: T.StructType, offered: T.StructType, exact: bool = False
         if f.name in known and f.dataType.simpleString() != known[f.name].dataType.simpleString()
     ]
     given = {f.name for f in offered}
-    problems += [
-        f"missing column {f.name}" for f in table if f.name not in given and (exact or not f.nullable)
-    ]
+    problems += [f"missing column {f.name}" for f in table if exact and f.name not in given]
     if problems:
         raise SchemaMismatch("; ".join(problems))
 
@@ -159,8 +157,10 @@ class VersionedTable:
         return seen.get["rows"]
 
     def _publish(self, version, operation, data_versions, schema, num_rows, metrics) -> Commit:
+        # written columns are nullable, as Parquet reads them back
+        nullable = T.StructType([T.StructField(f.name, f.dataType, True, f.metadata) for f in schema])
         row = (
-            version, dt.datetime.now(dt.timezone.utc), operation, list(data_versions), schema.json(),
+            version, dt.datetime.now(dt.timezone.utc), operation, list(data_versions), nullable.json(),
             num_rows, {k: str(v) for k, v in metrics.items()},
         )
         self.spark.createDataFrame([row], LOG_SCHEMA).coalesce(1).write.mode("overwrite").parquet(
