@@ -10,13 +10,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ledgerlake.operators.scd2 import initial_history, sequenced_history
+from ledgerlake.operators.scd2 import HISTORY, initial_history, sequenced_history
 from ledgerlake.operators.skew import BROADCAST_ROWS, hot_join, is_small
 
 _INITIAL = -1
 
 
 class HistoryStream:
+    """Each micro-batch scans the stored events once, without shuffling those of other customers."""
+
     def __init__(self, spark: SparkSession, path: str, snapshot: DataFrame):
         self.spark, self.path, self.snapshot = spark, path, snapshot
 
@@ -33,7 +35,7 @@ class HistoryStream:
         newest = rows.groupBy("customer_id").agg(F.max("batch").alias("batch"))
         return hot_join(
             rows, newest, ["customer_id", "batch"], "left_semi", "customer_id", ["effective_from"]
-        ).drop("batch")
+        ).select(*HISTORY)
 
     def _versions(self, batch_id: int) -> str:
         return f"{self.path}/versions/batch={batch_id}"

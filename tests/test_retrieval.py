@@ -180,6 +180,13 @@ def test_hybrid_end_to_end(spark, base):
     assert compared.groupBy("query_id", "retriever").count().filter("count = 2").count() == 9
 
 
+def test_ingest_again_replaces(spark, tmp_path):
+    documents = spark.createDataFrame(list(DOCUMENTS.items()), "document_name string, text string")
+    for source in (documents, documents.filter("document_name = 'fees'")):
+        base = retrieval.ingest(source, embeddings.hashing_provider(8), "m", str(tmp_path / "kb"))
+    assert (base.chunks.count(), base.vectors.count(), base.index.chunks.count()) == (2, 2, 2)
+
+
 def test_ingest_rejects_duplicate_chunks(spark):
     twice = spark.createDataFrame(list(DOCUMENTS.items()) + [("fees", DOCUMENTS["fees"])], "document_name string, text string")
     with pytest.raises(ValueError, match="not unique"):
