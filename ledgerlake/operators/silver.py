@@ -51,9 +51,12 @@ def by_month_files(transactions: DataFrame) -> DataFrame:
     """Group rows of a month into few files without giving a month to one task.
 
     ``rebalance`` lets adaptive execution split a large month and coalesce small ones by size;
-    sorting inside a task narrows the account range of every row group for later skipping.
+    sorting inside a task narrows the account range of every row group for later skipping, and starts
+    with the partition columns, so the writer keeps that order.
     """
-    return transactions.hint("rebalance", "year", "month").sortWithinPartitions("account_id", "timestamp")
+    return transactions.hint("rebalance", "year", "month").sortWithinPartitions(
+        "year", "month", "account_id", "timestamp"
+    )
 
 
 def write_silver(

@@ -118,15 +118,19 @@ postings AS (
   SELECT chunk_id, term, count(*) AS tf, any_value(length) AS length
   FROM (SELECT chunk_id, len(tokens) AS length, unnest(tokens) AS term FROM corpus) GROUP BY ALL),
 idf_raw AS (
-  SELECT term, ln(n - count(*) + CAST(0.5 AS DOUBLE)) - ln(count(*) + CAST(0.5 AS DOUBLE)) AS idf
+  SELECT term, round_even(1000000000 * (ln(n - count(*) + CAST(0.5 AS DOUBLE)) - ln(count(*) + CAST(0.5 AS DOUBLE))), 0)
+               / CAST(1000000000 AS DOUBLE) AS idf
   FROM postings, stats GROUP BY term, n),
-mean_idf AS (SELECT avg(idf) AS m FROM idf_raw),
+mean_idf AS (
+  SELECT CAST(sum(CAST(round_even(1000000000 * idf, 0) AS BIGINT)) AS DOUBLE) / count(*) / CAST(1000000000 AS DOUBLE) AS m FROM idf_raw),
 weights AS (SELECT term, CASE WHEN idf < 0 THEN CAST(0.25 AS DOUBLE) * m ELSE idf END AS w FROM idf_raw, mean_idf),
 questions AS (
   SELECT item_id AS query_id, term, count(*) AS qtf FROM (SELECT item_id, unnest({s.tokens_sql('text')}) AS term FROM benchmark) GROUP BY ALL),
 scores AS (
   SELECT query_id, chunk_id,
-         round(sum(qtf * w * tf * CAST(2.5 AS DOUBLE) / (tf + CAST(1.5 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * length / avg_length))), 6) AS score
+         floor((CAST(sum(CAST(round_even(1000000000 * (
+           qtf * w * tf * CAST(2.5 AS DOUBLE) / (tf + CAST(1.5 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * length / avg_length))
+         ), 0) AS BIGINT)) AS DOUBLE) + 500) / 1000) / CAST(1000000 AS DOUBLE) AS score
   FROM questions JOIN weights USING (term) JOIN postings USING (term), stats GROUP BY ALL)"""
 
 
@@ -155,9 +159,9 @@ def bm25_stats(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query("bm25_scores", s.with_(s.DOCUMENT_CHUNKS, _BM25) + "SELECT query_id, chunk_id, round(score, 4) AS score FROM scores")
+@query("bm25_scores", s.with_(s.DOCUMENT_CHUNKS, _BM25) + "SELECT query_id, chunk_id, score FROM scores")
 def bm25_scores(spark: SparkSession, folder: str) -> DataFrame:
-    return bm25.scores(s.questions(spark, folder), _index(spark, folder)).select("query_id", "chunk_id", F.round("score", 4).alias("score"))
+    return bm25.scores(s.questions(spark, folder), _index(spark, folder)).select("query_id", "chunk_id", "score")
 
 
 @query(
