@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerlake.operators.merge import merge_upsert
-from ledgerlake.operators.skew import hot_join
+from ledgerlake.operators.skew import few_keys, hot_join, is_small
 from ledgerlake.operators.spending import latest_per_key
 
 PART_TURNS = 1_000
@@ -69,13 +69,17 @@ def upsert(documents: DataFrame, saved: DataFrame, now) -> DataFrame:
     inserts = ["document_key", "conversation_id", "part", "created_at", *updates]
     merged = merge_upsert(documents.withColumn("document_key", key), source, "document_key", updates, inserts)
     newest = saved.groupBy("conversation_id").agg(F.max("part").alias("last_part"))
+    if is_small(newest):
+        newest = F.broadcast(newest)
     kept = merged.join(newest, "conversation_id", "left").filter("last_part is null or part <= last_part")
     return kept.select(*documents.columns)
 
 
 def get(documents: DataFrame, ids: DataFrame) -> DataFrame:
     """Documents of the requested conversations; unknown ids give no row."""
-    return documents.join(ids.select("conversation_id"), "conversation_id", "left_semi")
+    few = few_keys(ids, "conversation_id")
+    wanted = ids.select("conversation_id") if few is None else few
+    return documents.join(wanted, "conversation_id", "left_semi")
 
 
 def recent(documents: DataFrame, n: int = RECENT_DEFAULT) -> DataFrame:

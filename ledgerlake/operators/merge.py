@@ -6,6 +6,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ledgerlake.operators.skew import few_keys, restrict_to
+
 
 def merge_upsert(
     target: DataFrame,
@@ -21,13 +23,15 @@ def merge_upsert(
     columns stay as they were. Inserted rows get the ``insert`` columns, ``on_insert`` expressions,
     and null elsewhere. Two source rows with one key fail the job.
 
-    The target is the left side of a left join: a source that Spark finds small enough is broadcast
-    and the target is not shuffled at all. New keys are found by an anti join on keys only.
+    When counting shows that the source has few keys, it is broadcast to the target scan both for
+    updating and for finding which keys exist, and the target is not shuffled. Otherwise target and
+    source are shuffled by key.
     """
+    few = few_keys(source, key)
     changes = _one_row_per_key(source, key)
     cast = {f.name: f.dataType for f in target.schema}
     offered = changes.select(key, F.struct(*changes.columns).alias("__new"))
-    updated = target.join(offered, key, "left").select(
+    updated = target.join(offered if few is None else F.broadcast(offered), key, "left").select(
         *[
             F.when(F.col("__new").isNotNull(), F.col("__new")[c].cast(cast[c])).otherwise(F.col(c)).alias(c)
             if c in update
@@ -36,7 +40,7 @@ def merge_upsert(
         ]
     )
     on_insert = on_insert or {}
-    fresh = changes.join(target.select(key), key, "left_anti")
+    fresh = changes.join(restrict_to(target.select(key), few, key), key, "left_anti")
     inserted = fresh.select(
         *[
             (F.col(c) if c in insert else on_insert.get(c, F.lit(None))).cast(cast[c]).alias(c)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerlake.functions.money import dollars
 from ledgerlake.operators.quality import broken_rules
-from ledgerlake.operators.skew import frequent_keys, hot_join, restrict_to
+from ledgerlake.operators.skew import few_keys, frequent_keys, hot_join, restrict_to
 from ledgerlake.operators.spending import latest_as_list
 
 # Defaults and allowed ranges of the request arguments.
@@ -68,8 +68,9 @@ def balance_lookup(requests: DataFrame, accounts: DataFrame) -> DataFrame:
         "account_id", "account_type", dollars(F.col("balance_cents")).alias("balance_dollars"),
         "currency", "status", F.lit(True).alias("found"),
     )
+    asked = few_keys(checked, "account_id")
     answer = hot_join(
-        checked, restrict_to(wanted, checked, "account_id"), ["account_id"], "left", "account_id", ["request_id"]
+        checked, restrict_to(wanted, asked, "account_id"), ["account_id"], "left", "account_id", ["request_id"]
     ).withColumn("error", _error(F.col("found")))
     return answer.select(
         "request_id", "account_id", "error", "details",
@@ -80,13 +81,14 @@ def balance_lookup(requests: DataFrame, accounts: DataFrame) -> DataFrame:
 def recent_transactions(requests: DataFrame, accounts: DataFrame, transactions: DataFrame) -> DataFrame:
     """request_id, account_id, limit -> count and the newest transactions, or an error."""
     checked = validate(requests, RECENT_TOOL)
+    asked = few_keys(checked, "account_id")
     lists = latest_as_list(
-        restrict_to(transactions, checked, "account_id"),
+        restrict_to(transactions, asked, "account_id"),
         ["account_id"], "timestamp", "transaction_id", RECENT_MAX,
         ["transaction_id", "timestamp", dollars(F.col("amount_cents")).alias("amount_dollars"),
          "merchant", "category", "status"],
     )
-    known = restrict_to(accounts.select("account_id", F.lit(True).alias("found")), checked, "account_id")
+    known = restrict_to(accounts.select("account_id", F.lit(True).alias("found")), asked, "account_id")
     book = known.join(lists, "account_id", "left")
     answer = hot_join(checked, book, ["account_id"], "left", "account_id", ["request_id"]).withColumn(
         "error", _error(F.col("found"))
@@ -104,13 +106,14 @@ def category_spend(requests: DataFrame, accounts: DataFrame, transactions: DataF
     The total covers the returned rows, that is after the limit. An unknown category gives zero.
     """
     checked = validate(requests, CATEGORY_TOOL)
+    asked = few_keys(checked, "account_id")
     lists = latest_as_list(
-        restrict_to(transactions, checked, "account_id"),
+        restrict_to(transactions, asked, "account_id"),
         ["account_id", "category"], "timestamp", "transaction_id", CATEGORY_MAX,
         ["transaction_id", "timestamp", "amount_cents",
          dollars(F.col("amount_cents")).alias("amount_dollars"), "merchant"],
     )
-    known = restrict_to(accounts.select("account_id", F.lit(True).alias("found")), checked, "account_id")
+    known = restrict_to(accounts.select("account_id", F.lit(True).alias("found")), asked, "account_id")
     hot = frequent_keys(checked, "account_id")
     answer = hot_join(checked, known, ["account_id"], "left", "account_id", ["request_id"], hot)
     answer = hot_join(answer, lists, ["account_id", "category"], "left", "account_id", ["request_id"], hot)

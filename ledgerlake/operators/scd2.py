@@ -12,6 +12,7 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ledgerlake.functions.moments import micros
 from ledgerlake.operators.ordered import segment_of, segmented_scan
 
 ADDRESS, RISK = "ADDRESS", "RISK_RATING"
@@ -24,8 +25,7 @@ HISTORY = [
 
 def surrogate_key(customer_id: Column, effective_from: Column) -> Column:
     """Digest of natural key and start: the same on every run, and no global order is needed."""
-    start = F.date_format(effective_from, "yyyy-MM-dd HH:mm:ss.SSSSSS")
-    return F.sha2(F.concat_ws("|", customer_id, start), 256)
+    return F.sha2(F.concat_ws("|", customer_id, micros(effective_from).cast("string")), 256)
 
 
 def _history(rows: DataFrame) -> DataFrame:

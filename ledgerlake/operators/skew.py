@@ -26,14 +26,15 @@ def frequent_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> list:
     return [value for value in found if value is not None]
 
 
-def restrict_to(df: DataFrame, wanted: DataFrame, key: str, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Drop rows nobody asked for, while that is free of a shuffle of ``df``.
-
-    ``wanted`` is broadcast only when its distinct keys were counted and are few; otherwise ``df`` is
-    returned as it is and the later join does the filtering.
-    """
+def few_keys(wanted: DataFrame, key: str, max_rows: int = BROADCAST_ROWS) -> DataFrame | None:
+    """The distinct keys, marked for broadcast, when counting them shows that they are few."""
     keys = wanted.select(key).distinct()
-    return df.join(F.broadcast(keys), key, "left_semi") if is_small(keys, max_rows) else df
+    return F.broadcast(keys) if is_small(keys, max_rows) else None
+
+
+def restrict_to(df: DataFrame, keys: DataFrame | None, key: str) -> DataFrame:
+    """Drop rows nobody asked for, without a shuffle of ``df``; many keys are left to the later join."""
+    return df if keys is None else df.join(keys, key, "left_semi")
 
 
 def hot_join(

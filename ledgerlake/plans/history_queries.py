@@ -16,7 +16,7 @@ from ledgerlake.workspace import new_folder
 
 # customer history ---------------------------------------------------------
 
-_KEY = "sha256(customer_id || '|' || strftime(effective_from, '%Y-%m-%d %H:%M:%S.%f')) AS customer_key"
+_KEY = "sha256(customer_id || '|' || epoch_us(effective_from)) AS customer_key"
 
 _INITIAL = f"""initial AS (
   SELECT {_KEY}, * FROM (

@@ -25,9 +25,9 @@ def write_changes(changes: DataFrame, path: str) -> None:
     columns = schemas.CHANGE_EVENT.names
     (
         changes.select(*columns)
-        .withColumn("change_timestamp", F.date_format("change_timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
         .orderBy("change_timestamp", "customer_id", "change_type")
-        .write.mode("overwrite").option("header", True).csv(path)
+        .write.mode("overwrite").option("header", True)
+        .option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").csv(path)
     )
 
 

@@ -7,14 +7,12 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ledgerlake.functions.moments import clock_time, utc_instant
 from ledgerlake.operators.silver import clean_transactions
 
 
 def _timed(transactions: DataFrame, lateness: str) -> DataFrame:
-    """Watermarks need a zoned timestamp; the session zone is UTC, so the two agree."""
-    return transactions.withColumn("event_time", F.col("timestamp").cast("timestamp")).withWatermark(
-        "event_time", lateness
-    )
+    return transactions.withColumn("event_time", utc_instant(F.col("timestamp"))).withWatermark("event_time", lateness)
 
 
 def silver_stream(
@@ -41,7 +39,7 @@ def totals_stream(
         _timed(transactions, lateness)
         .groupBy(F.window("event_time", window).alias("period"), "category")
         .agg(F.count(F.lit(1)).alias("n"), F.sum("amount_cents").alias("total_cents"))
-        .select(F.col("period.start").cast("timestamp_ntz").alias("period_start"), "category", "n", "total_cents")
+        .select(clock_time(F.col("period.start")).alias("period_start"), "category", "n", "total_cents")
     )
 
     def save(batch: DataFrame, batch_id: int) -> None:

@@ -32,9 +32,8 @@ def _plain(value):
     return value
 
 
-def differences(spark, connection, query, sql, folder) -> tuple[int, list[str]]:
+def differences(frame, connection, sql) -> tuple[int, list[str]]:
     """Row count and what differs: column names, value kinds, rows."""
-    frame = query(spark, folder)
     names = sorted(frame.columns)
     rows = Counter(tuple(_plain(r[n]) for n in names) for r in frame.select(*[f"`{n}`" for n in names]).collect())
     n = sum(rows.values())
@@ -70,7 +69,7 @@ def main() -> None:
     for name in names:
         start = time.time()
         try:
-            n, found = differences(spark, connection, QUERIES[name], ORACLES.get(name), folder)
+            n, found = differences(QUERIES[name](spark, folder), connection, ORACLES.get(name))
         except Exception as problem:  # noqa: BLE001
             n, found = -1, [f"{type(problem).__name__}: {str(problem)[:1500]}"]
         bad += bool(found)

@@ -67,8 +67,20 @@ def test_ambiguous_source_fails(accounts, updates):
 
 
 def test_small_source_leaves_the_target_unshuffled(spark, tmp_path, accounts, updates):
-    accounts.write.parquet(str(tmp_path / "a"))
-    updates.write.parquet(str(tmp_path / "u"))
-    merged = merge.merge_accounts(spark.read.parquet(str(tmp_path / "a")), spark.read.parquet(str(tmp_path / "u")))
+    spark.range(200_000).selectExpr(
+        "concat('ACC-', id) as account_id", "'C' as customer_id", "'savings' as account_type", "id as balance_cents",
+        "'USD' as currency", "date'2020-01-01' as opened_date", "'active' as status",
+        "timestamp_ntz'2020-01-01' as created_at", "timestamp_ntz'2020-01-01' as ingested_at", "1.0D as balance_dollars",
+    ).write.parquet(str(tmp_path / "a"))
+    target = spark.read.parquet(str(tmp_path / "a"))
+    merged = merge.merge_accounts(target, updates)
     plan = merged._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "Cartesian" not in plan
+    assert "LeftOuter, BuildRight" in plan and "LeftSemi, BuildRight" in plan and "Cartesian" not in plan
+    # both keys of the source exist in this target
+    assert merged.count() == 200_000 and merged.filter("balance_cents = 99999 and account_id = 'ACC-1'").count() == 1
+
+
+def test_large_source_gives_the_same(spark, accounts, updates, rows, monkeypatch):
+    small = rows(merge.merge_accounts(accounts, updates))
+    monkeypatch.setattr(merge, "few_keys", lambda source, key: None)
+    assert rows(merge.merge_accounts(accounts, updates)) == small

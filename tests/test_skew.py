@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlake.operators.skew import frequent_keys, hot_join, is_small, restrict_to
+from ledgerlake.operators.skew import few_keys, frequent_keys, hot_join, is_small, restrict_to
 
 
 @pytest.fixture
@@ -40,7 +40,7 @@ def test_join_without_hot_keys_and_null_keys(spark, rows, answers):
 
 def test_size_check(spark, skewed, answers, rows):
     assert is_small(spark.range(10), 10) and not is_small(spark.range(11), 10)
-    assert rows(restrict_to(skewed, answers, "k", max_rows=100), "k") == rows(
-        skewed.join(answers, "k", "left_semi"), "k"
-    )
-    assert restrict_to(skewed, answers, "k", max_rows=1) is skewed
+    few = few_keys(answers, "k", max_rows=100)
+    assert rows(restrict_to(skewed, few, "k"), "k") == rows(skewed.join(answers, "k", "left_semi"), "k")
+    assert few_keys(answers, "k", max_rows=1) is None
+    assert restrict_to(skewed, None, "k") is skewed

@@ -82,3 +82,16 @@ def test_totals_follow_batches_and_drop_only_late_rows(spark, tmp_path, rows):
     totals_stream(feed.stream(), out, checkpoint).awaitTermination()
     found = {(r["period_start"], r["category"]): r["total_cents"] for r in read_totals(spark, out).collect()}
     assert found[day(9), "a"] == 3 and found[day(0), "a"] == 150
+
+
+def test_days_do_not_depend_on_the_session_zone(spark, tmp_path, rows):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        feed = Feed(spark, tmp_path / "in", spark.createDataFrame([], TXN).schema)
+        feed.add(transactions(spark, (1, 68, 2, 7, "a"), (2, 68, 23, 8, "a"), (3, 69, 0, 9, "a")))  # a day with a clock change
+        totals_stream(feed.stream(), str(tmp_path / "t"), str(tmp_path / "cp")).awaitTermination()
+        found = rows(read_totals(spark, str(tmp_path / "t")), "period_start", "total_cents")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert found == [(day(68), 15), (day(69), 9)]
