@@ -58,17 +58,25 @@ def _risk() -> Column:
 def _timeline(snapshot: DataFrame, changes: DataFrame) -> DataFrame:
     """Customer states in time: what each instant sets, null where it sets nothing.
 
-    Changes of one customer at one instant become one row; equal-typed ones resolve to the largest.
+    One customer and instant is one row. Events there win over a snapshot row, and of several events
+    of one type the largest counts.
     """
+    nothing = [F.lit(None).alias(f"{name}_event") for name in ("address", "risk")]
     start = snapshot.select(
         "customer_id", F.col("enrollment_date").cast("timestamp_ntz").alias("at"),
-        _address().alias("address"), _risk().alias("risk"),
+        _address().alias("address"), _risk().alias("risk"), *nothing,
+    )
+    events = changes.filter(F.col("change_type").isin(ADDRESS, RISK)).select(
+        "customer_id", F.col("change_timestamp").alias("at"), F.lit(None).alias("address"), F.lit(None).alias("risk"),
+        F.when(F.col("change_type") == ADDRESS, _address()).alias("address_event"),
+        F.when(F.col("change_type") == RISK, _risk()).alias("risk_event"),
+    )
+    return start.unionByName(events).groupBy("customer_id", "at").agg(
+        *[
+            F.coalesce(F.max(f"{name}_event"), F.max(name)).alias(name)
+            for name in ("address", "risk")
+        ]
     )
-    events = changes.groupBy("customer_id", F.col("change_timestamp").alias("at")).agg(
-        F.max(F.when(F.col("change_type") == ADDRESS, _address())).alias("address"),
-        F.max(F.when(F.col("change_type") == RISK, _risk())).alias("risk"),
-    ).filter("address is not null or risk is not null")
-    return start.unionByName(events)
 
 
 def sequenced_history(snapshot: DataFrame, changes: DataFrame, grain: str = "month") -> DataFrame:
