@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerlake.llm import decontamination, simhash
+from ledgerlake.llm import decontamination, packing, sharding, simhash
 from ledgerlake.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +24,18 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """Pieces of ``docs`` with a digest of their ids and their place; the ids themselves don't travel."""
+    cut = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+
+
+@query("op2_best_fit_packing")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    """Every piece of every document with its sequence and offset."""
+    return packed(documents(spark, folder))
+
+
 _OP3 = r"""
 WITH items AS (
   SELECT item_id, w, len(w) AS n FROM (
@@ -70,3 +83,9 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.near_duplicates(documents(spark, folder), shingle=3, max_bits=2)
+
+
+@query("op10_sharding")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    """Eight shards of near equal bytes."""
+    return sharding.shard_documents(documents(spark, folder), shards=8)
