@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 from ledgerlake.workspace import written
 
@@ -24,15 +24,9 @@ def utf8(column: str = "text") -> Column:
     return F.col(column).cast("binary")
 
 
-def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], Iterable[dict]], schema: str) -> DataFrame:
-    """Apply ``function`` to each Arrow batch; it yields columns by name, which become batches."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for columns in function(batch):
-                yield pa.RecordBatch.from_pydict(columns)
-
-    return df.mapInArrow(run, schema)
+def extended(schema: StructType, **columns: DataType) -> StructType:
+    """``schema`` and further columns, named with their types."""
+    return StructType([*schema.fields, *[StructField(n, t) for n, t in columns.items()]])
 
 
 def numbered(df: DataFrame, keys: Sequence[str], name: str, label: str) -> DataFrame:

@@ -15,8 +15,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import LongType
 
-from ledgerlake.llm.common import numbered, utf8
+from ledgerlake.llm.common import extended, numbered, utf8
 from ledgerlake.llm.tokens import WordIds, of_worker
 
 CAPACITY = 4_096
@@ -224,7 +225,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, label: str = "packing") -> Da
                 [*columns, pa.array(sequence), pa.array(offset)], names=[*kept, "sequence_id", "offset"]
             )
 
-    schema = cut.select(*kept).schema.add("sequence_id", "long").add("offset", "long")
+    schema = extended(cut.select(*kept).schema, sequence_id=LongType(), offset=LongType())
     return rows.mapInArrow(run, schema)
 
 

@@ -14,12 +14,15 @@ import math
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from ledgerlake.llm.common import numbered
+from ledgerlake.llm.common import extended, numbered
 from ledgerlake.workspace import written
 
 #: Least number of groups that a bucket is meant to hold.
 BUCKET_GROUPS = 500
+#: Most groups that are differenced on the driver one by one.
+HEAVY = 16_000
 
 
 def difference(vectors: list[list[int]]) -> list[list[int]]:
@@ -67,26 +70,52 @@ def difference(vectors: list[list[int]]) -> list[list[int]]:
 
 
 def balanced(groups: DataFrame, key: str, size: str, shards: int) -> DataFrame:
-    """Rows (``key``, shard) for ``groups`` of distinct keys with whole sizes; totals of shards near equal."""
+    """Rows (``key``, shard) for ``groups`` of distinct keys with whole sizes; totals of shards near equal.
+
+    Groups of more than 1/``HEAVY`` of all bytes, at most ``HEAVY`` of them, are differenced on the
+    driver. What they leave uneven is split over every second bucket (over all, if it is much), each of
+    which differences its groups against its share. The other buckets stay free to be turned against
+    the rest.
+    """
     groups = written(groups.select(F.col(key).alias("key"), F.col(size).cast("long").alias("size")), "shard-groups")
-    buckets = max(1, math.ceil(groups.count() / max(BUCKET_GROUPS, math.isqrt(groups.count()))))
-    bucketed = groups.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
+    n, total = groups.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    is_heavy = F.col("size") > int(total) // HEAVY
+    heavy = groups.where(is_heavy).orderBy(F.desc("size"), "key").collect()
+    uneven, heavy_rows = [0] * shards, []
+    for row, places in zip(heavy, difference([[int(r["size"])] + [0] * (shards - 1) for r in heavy])):
+        uneven[places[0]] += int(row["size"])
+        heavy_rows.append((row["key"], places[0]))
+    light = int(total) - sum(uneven)
+    uneven = [u - min(uneven) for u in uneven]
+    buckets = max(1, math.ceil((n - len(heavy)) / max(BUCKET_GROUPS, math.isqrt(n))))
+    much = buckets < 4 or 4 * sum(max(uneven) - u for u in uneven) > light
+    bound = buckets if much else buckets // 2
+    share = [-(-u // bound) for u in uneven]
+    bucketed = groups.where(~is_heavy).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
 
     def inside(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["size", "key"], ascending=False)
-        dealt = difference([[int(s)] + [0] * (shards - 1) for s in part["size"]])
-        return part.assign(part=[d[0] for d in dealt])
+        start = [share] if part["bucket"].iloc[0] < bound else [[0] * shards]
+        dealt = difference(start + [[int(s)] + [0] * (shards - 1) for s in part["size"]])
+        shard_of = {place: shard for shard, place in enumerate(dealt[0])}
+        return part.assign(part=[shard_of[d[0]] for d in dealt[1:]])
 
-    schema = bucketed.schema.add("part", "integer")
+    schema = extended(bucketed.schema, part=IntegerType())
     parts = written(bucketed.groupBy("bucket").applyInPandas(inside, schema), "shard-parts")
     sums: dict[int, list[int]] = {}
-    for bucket, place, total in parts.groupBy("bucket", "part").agg(F.sum("size")).collect():
-        sums.setdefault(bucket, [0] * shards)[place] = int(total)
-    names = sorted(sums)
-    dealt = dict(zip(names, difference([sums[b] for b in names])))
-    rows = [(b, j, s) for b, places in dealt.items() for j, s in enumerate(places)]
-    named = groups.sparkSession.createDataFrame(rows, "bucket int, part int, shard int")
-    return parts.join(named, ["bucket", "part"]).select(F.col("key").alias(key), "shard")
+    for bucket, place, bytes_ in parts.groupBy("bucket", "part").agg(F.sum("size")).collect():
+        sums.setdefault(bucket, [0] * shards)[place] += int(bytes_)
+    free = sorted(b for b in sums if b >= bound)
+    fixed = [u + sum(sums[b][j] for b in sums if b < bound) for j, u in enumerate(uneven)]
+    first, *turned = difference([fixed, *[sums[b] for b in free]])
+    shard_of = {place: shard for shard, place in enumerate(first)}
+    rows = [(b, j, j) for b in sums if b < bound for j in range(shards)]
+    rows += [(b, j, shard_of[place]) for b, places in zip(free, turned) for j, place in enumerate(places)]
+    session = groups.sparkSession
+    named = session.createDataFrame(rows, "bucket int, part int, shard int")
+    alone = session.createDataFrame(heavy_rows, StructType([groups.schema["key"], StructField("shard", IntegerType())]))
+    placed = parts.join(named, ["bucket", "part"]).select("key", "shard").union(alone)
+    return placed.select(F.col("key").alias(key), "shard")
 
 
 def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:

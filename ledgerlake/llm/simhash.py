@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import LongType
 
-from ledgerlake.llm.common import components, utf8
+from ledgerlake.llm.common import components, extended, utf8
 from ledgerlake.workspace import written
 
 SEED = 42
@@ -62,7 +63,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*columns, pa.array(fps, pa.int64())], names=[*kept, "fp"])
 
     shape = docs.select(*kept)
-    schema = shape.schema.add("fp", "long")
+    schema = extended(shape.schema, fp=LongType())
     return shape.withColumn("__bytes", utf8()).mapInArrow(run, schema)
 
 
