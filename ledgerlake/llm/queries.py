@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerlake.llm import decontamination, packing, sharding, simhash
+from ledgerlake.llm import decontamination, language, packing, secret_scan, sharding, simhash
 from ledgerlake.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,19 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     """Eight shards of near equal bytes."""
     return sharding.shard_documents(documents(spark, folder), shards=8)
+
+
+@query("op9_secret_scans")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    """Spans of secrets in every document."""
+    return secret_scan.report(secret_scan.scan(documents(spark, folder).select("doc_id", "text")))
+
+
+@query("op4_language_id")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    """Predicted language of every document, by a model of the rows that aren't held out."""
+    docs = documents(spark, folder)
+    held = language.held_out(4, 2)
+    model = language.fit(docs.select("doc_id", "text", "lang"), held)
+    found = language.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "accepted")
