@@ -24,6 +24,12 @@ def utf8(column: str = "text") -> Column:
     return F.col(column).cast("binary")
 
 
+def held_out(parts: int, rest: int) -> Column:
+    """Whether crc32(doc_id as text) mod ``parts`` is ``rest``; rows without an id are never learned from."""
+    digest = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    return F.col("doc_id").isNull() | (F.pmod(digest, F.lit(parts)) == rest)
+
+
 def extended(schema: StructType, **columns: DataType) -> StructType:
     """``schema`` and further columns, named with their types."""
     return StructType([*schema.fields, *[StructField(n, t) for n, t in columns.items()]])

@@ -199,9 +199,3 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in shape.schema.fields)
     schema = f"{schema}, lang_pred string, score double, accepted boolean"
     return shape.withColumn("__text", F.col("text")).mapInArrow(run, schema)
-
-
-def held_out(parts: int, rest: int):
-    """Whether crc32(doc_id as text) mod ``parts`` is ``rest``; rows without an id are never learned from."""
-    digest = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    return F.col("doc_id").isNull() | (F.pmod(digest, F.lit(parts)) == rest)

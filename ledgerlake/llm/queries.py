@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerlake.llm import decontamination, language, packing, secret_scan, sharding, simhash
-from ledgerlake.llm.common import documents
+from ledgerlake.llm import decontamination, language, packing, quality, secret_scan, sharding, simhash
+from ledgerlake.llm.common import documents, held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -101,7 +101,16 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     """Predicted language of every document, by a model of the rows that aren't held out."""
     docs = documents(spark, folder)
-    held = language.held_out(4, 2)
+    held = held_out(4, 2)
     model = language.fit(docs.select("doc_id", "text", "lang"), held)
     found = language.identify(docs.select("doc_id", "text"), model)
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "accepted")
+
+
+@query("op1_quality_classifier")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document, by a model of the labelled rows that aren't held out."""
+    held = held_out(5, 0)
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    scored = quality.classify(documents(spark, folder), labels, held, threshold=0.3)
+    return scored.select("doc_id", held.alias("held_out"), "score", "predicted")
