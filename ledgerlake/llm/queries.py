@@ -7,8 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerlake.llm import decontamination, language, packing, quality, secret_scan, sharding, simhash
+from ledgerlake.llm import decontamination, language, packing, quality, secret_scan, sharding, simhash, token_counts
 from ledgerlake.llm.common import documents, held_out
+from ledgerlake.workspace import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -114,3 +115,10 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     labels = spark.read.parquet(f"{folder}/labels.parquet")
     scored = quality.classify(documents(spark, folder), labels, held, threshold=0.3)
     return scored.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+@query("op5_token_counts")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of every document, with a cache that starts empty."""
+    cache = new_folder(spark, "token-cache")
+    return token_counts.count_tokens(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"), cache, limit=1024)
