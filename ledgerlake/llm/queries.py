@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerlake.llm import decontamination, language, packing, quality, secret_scan, sharding, simhash, token_counts
+from ledgerlake.llm import decontamination, language, merkle, packing, quality, secret_scan, sharding, simhash, token_counts
 from ledgerlake.llm.common import documents, held_out
 from ledgerlake.workspace import new_folder
 
@@ -122,3 +122,46 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of every document, with a cache that starts empty."""
     cache = new_folder(spark, "token-cache")
     return token_counts.count_tokens(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"), cache, limit=1024)
+
+
+def _tree_sql(text: str, prefix: str) -> str:
+    """Columns {prefix}nodes, which hold the fingerprint's parts, from the column ``text`` of a table."""
+    return f"""
+      list_transform(string_split({text}, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)),
+        lambda p: list_transform(regexp_extract_all(p, '[^\\n]{{1,{merkle.SPAN}}}'), lambda x: md5(x)))) AS {prefix}nodes"""
+
+
+_SHOWN = """
+  sha256(array_to_string(list_transform({0}nodes, lambda s: md5(array_to_string(list_transform(s,
+      lambda p: md5(array_to_string(p, ''))), ''))), '')) || '/' ||
+  array_to_string(list_transform({0}nodes, lambda s:
+    left(md5(array_to_string(list_transform(s, lambda p: md5(array_to_string(p, ''))), '')), 8) || '[' ||
+    array_to_string(list_transform(s, lambda p: left(md5(array_to_string(p, '')), 8) || '(' ||
+      array_to_string(list_transform(p, lambda x: left(x, 8)), '') || ')'), '') || ']'), '') AS {0}fingerprint,
+  list_distinct(list_transform(flatten(flatten({0}nodes)), lambda x: left(x, 8))) AS {0}spans"""
+
+_OP8 = f"""
+WITH ordered AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+    coalesce(lead(coalesce(text, '')) OVER w, first_value(coalesce(text, '')) OVER w) AS next_text
+  FROM documents WINDOW w AS (ORDER BY doc_id DESC NULLS LAST, text
+    ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
+),
+edited AS (
+  SELECT *, left(text, length(text) - length(text) // 3) || left(next_text, length(text) // 3) AS edited FROM ordered
+),
+nodes AS (SELECT *, {_tree_sql('text', '')}, {_tree_sql('edited', 'edited_')}, {_tree_sql('next_text', 'next_')} FROM edited),
+trees AS (SELECT *, {_SHOWN.format('')}, {_SHOWN.format('edited_')}, {_SHOWN.format('next_')} FROM nodes)
+SELECT doc_id, length(text) AS n_chars, sha256(edited) AS edited_sha256, fingerprint, edited_fingerprint,
+  CASE WHEN fingerprint = edited_fingerprint THEN 1.0::DOUBLE ELSE coalesce(len(list_intersect(spans, edited_spans))::DOUBLE
+    / nullif(len(list_distinct(list_concat(spans, edited_spans))), 0), 0) END AS near_edited,
+  CASE WHEN fingerprint = next_fingerprint THEN 1.0::DOUBLE ELSE coalesce(len(list_intersect(spans, next_spans))::DOUBLE
+    / nullif(len(list_distinct(list_concat(spans, next_spans))), 0), 0) END AS near_next
+FROM trees
+"""
+
+
+@query("op8_document_fingerprints", _OP8)
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    """Merkle fingerprints of every document and of its edited text."""
+    return merkle.edited_fingerprints(documents(spark, folder)).drop("changed")
