@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerlake.llm import decontamination, language, merkle, packing, quality, secret_scan, sharding, simhash, token_counts
+from ledgerlake.llm import decontamination, language, merkle, packing, phrases, quality, secret_scan, sharding, simhash, token_counts
 from ledgerlake.llm.common import documents, held_out
 from ledgerlake.workspace import new_folder
 
@@ -165,3 +165,26 @@ FROM trees
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     """Merkle fingerprints of every document and of its edited text."""
     return merkle.edited_fingerprints(documents(spark, folder)).drop("changed")
+
+
+_OP6 = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+),
+windows AS (
+  SELECT r, i, sha256(array_to_string(w[i : i + 34], ' ')) AS key
+  FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM docs WHERE len(w) >= 35)
+),
+again AS (SELECT r, i FROM windows WHERE key IN (SELECT key FROM windows GROUP BY key HAVING count(*) > 1)),
+removed AS (SELECT r, list(DISTINCT p) AS places FROM (SELECT r, unnest(range(i, i + 35)) AS p FROM again) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(places), 0)::BIGINT AS n_removed,
+  sha256(array_to_string(CASE WHEN places IS NULL THEN w
+    ELSE list_transform(list_sort(list_filter(range(1, len(w) + 1), lambda k: NOT list_contains(places, k))), lambda k: w[k]) END, ' ')) AS kept_sha256
+FROM docs LEFT JOIN removed USING (r)
+"""
+
+
+@query("op6_substring_dedup", _OP6)
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without its repeated passages."""
+    return phrases.remove_repeats(documents(spark, folder), window=35)
