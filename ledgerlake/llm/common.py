@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import DataType, StructField, StructType
@@ -30,6 +30,16 @@ def held_out(parts: int, rest: int) -> Column:
     return F.col("doc_id").isNull() | (F.pmod(digest, F.lit(parts)) == rest)
 
 
+def aside(docs: DataFrame, work: Callable[[DataFrame], DataFrame], used: Sequence[str] = ("doc_id", "text")) -> DataFrame:
+    """``work`` on ``docs`` whose columns but the ``used`` ones bear names that clash with nothing.
+
+    ``work`` keeps the columns it gets; the result has the columns of ``docs`` by their own names.
+    """
+    away = {c: f"__column{i}" for i, c in enumerate(docs.columns) if c not in used}
+    done = work(docs.withColumnsRenamed(away))
+    return done.select(*[F.col(away.get(c, c)).alias(c) for c in docs.columns])
+
+
 def extended(schema: StructType, **columns: DataType) -> StructType:
     """``schema`` and further columns, named with their types."""
     return StructType([*schema.fields, *[StructField(n, t) for n, t in columns.items()]])

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerlake.llm.common import utf8
+from ledgerlake.llm.common import aside, utf8
 
 WINDOW = 10
 #: Words of a shard, and characters of the benchmark that one pass sends to every task.
@@ -259,4 +259,4 @@ def report(found: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` without the rows that hold a benchmark window."""
-    return matches(docs, benchmark, window).where(F.size("spans") == 0).select(*docs.columns)
+    return aside(docs, lambda d: matches(d, benchmark, window).where(F.size("spans") == 0))

@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ledgerlake.llm.common import aside
+
 BUCKETS = 1 << 16
 DIMENSION = 16
 EPOCHS = 4
@@ -199,3 +201,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in shape.schema.fields)
     schema = f"{schema}, lang_pred string, score double, accepted boolean"
     return shape.withColumn("__text", F.col("text")).mapInArrow(run, schema)
+
+
+def keep_accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` without the texts that the model rejects; all columns are kept."""
+    return aside(docs, lambda d: identify(d, model).where("accepted"))

@@ -14,6 +14,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ledgerlake.llm.common import aside
+
 _ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE
 )
@@ -233,8 +235,12 @@ def redact(docs: DataFrame, threshold: float = THRESHOLD, mask: str = "[SECRET]"
     start = F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("at"), F.col("text").alias("all"))
     joined = F.aggregate("found", start, after, lambda d: F.concat(d["text"], F.substr(d["all"], d["at"] + 1, F.length(d["all"]).cast("long"))))
     masked = F.when(F.size("found") > 0, joined).otherwise(F.col("text"))
-    result = scan(docs, threshold).withColumn("text", masked)
-    if "n_chars" in docs.columns:
+
+    def work(rows: DataFrame) -> DataFrame:
+        result = scan(rows, threshold).withColumn("text", masked)
+        if "n_chars" not in rows.columns:
+            return result
         counted = F.when(F.size("found") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-        result = result.withColumn("n_chars", counted)
-    return result.select(*docs.columns)
+        return result.withColumn("n_chars", counted)
+
+    return aside(docs, work, ("doc_id", "text", "n_chars"))

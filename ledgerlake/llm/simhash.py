@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import LongType
 
-from ledgerlake.llm.common import components, extended, utf8
+from ledgerlake.llm.common import aside, components, extended, utf8
 from ledgerlake.workspace import written
 
 SEED = 42
@@ -153,12 +153,15 @@ def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
     Of repeated rows with that id one stays (the smallest by text, then any). Rows without an id stay
     only where their whole group has none. All columns are kept.
     """
-    printed = fingerprints(docs, shingle)
     prints = written(fingerprints(docs.select("doc_id", "text"), shingle).select("doc_id", "fp"), "simhash-docs")
     named = prints.join(near_groups(prints, max_bits), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp")))
     chosen = named.groupBy(group.alias("g")).agg(F.min("fp").alias("__fp"), F.min("doc_id").alias("__id"))
-    same = (F.col("fp") == F.col("__fp")) & F.col("doc_id").eqNullSafe(F.col("__id"))
-    kept = printed.join(chosen.select("__fp", "__id"), same, "left_semi")
-    first = F.row_number().over(Window.partitionBy("fp", "doc_id").orderBy("text"))
-    return kept.withColumn("__first", first).where("__first = 1").select(*docs.columns)
+
+    def work(rows: DataFrame) -> DataFrame:
+        same = (F.col("fp") == F.col("__fp")) & F.col("doc_id").eqNullSafe(F.col("__id"))
+        kept = fingerprints(rows, shingle).join(chosen.select("__fp", "__id"), same, "left_semi")
+        first = F.row_number().over(Window.partitionBy("fp", "doc_id").orderBy("text"))
+        return kept.withColumn("__first", first).where("__first = 1")
+
+    return aside(docs, work)
