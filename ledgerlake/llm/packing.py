@@ -116,7 +116,7 @@ def solve(histogram: np.ndarray, capacity: int = CAPACITY) -> dict[tuple[int, ..
     covered = np.zeros(capacity + 1)
     value = np.arange(capacity + 1, dtype=float)
     use: dict[tuple[int, ...], float] = {}
-    for round_ in range(1, ROUNDS + 1):
+    for round_ in range(1, ROUNDS + 1) if len(sizes) else ():
         goal = total * COVERED * round_ / ROUNDS
         best = _knapsack(value, sizes, capacity)
         lag = goal[sizes] - covered[sizes]

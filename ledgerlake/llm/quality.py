@@ -184,6 +184,8 @@ def train(x: np.ndarray, y: np.ndarray, seed: int = 11) -> RuleModel:
                 held = _holds(path, x)
                 logit[held] += 0.3 * error[held].mean() / 0.15 if held.any() else 0.0
     kept = list(rules)
+    if not kept:  # too few rows for a tree
+        return RuleModel([], [], constant)
     z = np.array([_holds(r, x) for r in kept], dtype=np.float64).T
     weights, constant = _lasso(z, y.astype(np.float64), constant)
     chosen = np.flatnonzero(np.abs(weights) > 1e-6)

@@ -121,18 +121,23 @@ def _ball(value, radius: int, width: int = HALF):
 
 
 def near_groups(prints: DataFrame, max_bits: int = 2) -> DataFrame:
-    """``component_id`` for each fingerprint of ``prints`` (doc_id, fp): rows (fp, component_id).
+    """The group of each fingerprint of ``prints`` (doc_id, fp): rows (fp, root, component_id).
 
-    The id is the smallest doc_id reachable through links of at most ``max_bits`` differing bits; equal
-    fingerprints are linked. Null ids lose against others; a group without any id has a null.
+    ``root`` is the least fingerprint and ``component_id`` the smallest doc_id reachable through links
+    of at most ``max_bits`` differing bits; equal fingerprints are linked. Null ids lose against others;
+    a group without any id has a null.
     """
     fps = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-prints")
     found = written(components(links(fps, max_bits), "a", "b", "simhash-links"), "simhash-components")
     joined = found.select(F.col("node").alias("fp"), "root").join(fps, "fp")
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = found.join(least, "root").select(F.col("node").alias("fp"), "component_id")
+    linked = found.join(least, "root").select(F.col("node").alias("fp"), "root", "component_id")
     alone = fps.select("fp", "least").join(linked, "fp", "left")
-    return alone.select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    return alone.select(
+        "fp",
+        F.coalesce("root", "fp").alias("root"),
+        F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"),
+    )
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
@@ -155,8 +160,7 @@ def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
     """
     prints = written(fingerprints(docs.select("doc_id", "text"), shingle).select("doc_id", "fp"), "simhash-docs")
     named = prints.join(near_groups(prints, max_bits), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp")))
-    chosen = named.groupBy(group.alias("g")).agg(F.min("fp").alias("__fp"), F.min("doc_id").alias("__id"))
+    chosen = named.groupBy("root").agg(F.min("fp").alias("__fp"), F.min("doc_id").alias("__id"))
 
     def work(rows: DataFrame) -> DataFrame:
         same = (F.col("fp") == F.col("__fp")) & F.col("doc_id").eqNullSafe(F.col("__id"))
