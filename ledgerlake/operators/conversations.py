@@ -1,20 +1,19 @@
-"""Conversations as nested documents and as message tables.
+"""Conversations as a header table and a message table.
 
 Messages are rows (conversation_id, turn, role, content) with ``turn`` unique within a conversation
-and ``content`` a list of blocks, each holding exactly one of text, toolUse, toolResult. Documents
-hold at most ``PART_TURNS`` turns, so a conversation of any length becomes several bounded documents
-numbered by ``part``; an ordinary conversation is part 0 only.
+and ``content`` a list of blocks, each holding exactly one of text, toolUse, toolResult. Headers hold
+one row per conversation: conversation_id, customer_id, created_at, updated_at, n_messages. Listing and
+saving work on headers; messages are joined only where they are asked for, and a conversation may have
+any number of them.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerlake.operators.merge import merge_upsert
-from ledgerlake.operators.skew import few_keys, hot_join, is_small
 from ledgerlake.operators.spending import latest_per_key
 
-PART_TURNS = 1_000
+HEADER = ["conversation_id", "customer_id", "created_at", "updated_at", "n_messages"]
 
 # Default and range of the assistant turn cap, default list length.
 TURN_CAP_DEFAULT, TURN_CAP_MAX = 10, 50
@@ -33,59 +32,66 @@ def text_messages(turns: DataFrame) -> DataFrame:
     return turns.withColumn("content", F.array(block).cast(f"array<{BLOCK}>")).drop("text")
 
 
-def assemble(messages: DataFrame) -> DataFrame:
-    """One document per conversation and part, messages in turn order."""
-    part = F.floor(F.col("turn") / PART_TURNS).cast("int").alias("part")
-    return (
-        messages.groupBy("conversation_id", part)
-        .agg(F.sort_array(F.collect_list(F.struct("turn", "role", "content"))).alias("messages"))
-        .withColumn("n_messages", F.size("messages").cast("bigint"))
-    )
+def headers(messages: DataFrame, owners: DataFrame, created_at, updated_at) -> DataFrame:
+    """A header per conversation; ``owners`` has (conversation_id, customer_id)."""
+    counted = messages.groupBy("conversation_id").agg(F.count(F.lit(1)).alias("n_messages"))
+    return counted.join(owners, "conversation_id").withColumns(
+        {"created_at": created_at, "updated_at": updated_at}
+    ).select(*HEADER)
 
 
-def message_counts(documents: DataFrame) -> DataFrame:
-    return documents.groupBy("conversation_id").agg(F.sum("n_messages").alias("n_messages"))
+def document(headers: DataFrame, messages: DataFrame) -> DataFrame:
+    """Headers with all their messages nested in turn order, for export of the conversations asked for."""
+    nested = messages.groupBy("conversation_id").agg(
+        F.sort_array(F.collect_list(F.struct("turn", "role", "content"))).alias("messages")
+    )
+    return headers.join(nested, "conversation_id", "left")
 
 
 def append(messages: DataFrame, new: DataFrame) -> DataFrame:
     """Add messages after the existing ones; ``new`` has ``position`` 0, 1, ... per conversation."""
     last = messages.groupBy("conversation_id").agg(F.max("turn").alias("last_turn"))
-    placed = hot_join(new, last, ["conversation_id"], "left", "conversation_id", ["position"])
     turn = F.coalesce(F.col("last_turn") + 1, F.lit(0)) + F.col("position")
-    return messages.unionByName(placed.withColumn("turn", turn).select(*messages.columns))
+    placed = new.join(last, "conversation_id", "left").withColumn("turn", turn)
+    return messages.unionByName(placed.select(*messages.columns))
 
 
-def upsert(documents: DataFrame, saved: DataFrame, now) -> DataFrame:
-    """Replace or create documents (conversation_id, part, customer_id, messages).
+def upsert(headers: DataFrame, saved: DataFrame, now) -> DataFrame:
+    """Headers after saving the conversations of ``saved`` (conversation_id, customer_id, n_messages).
 
-    ``created_at`` is set on creation only, ``updated_at`` always. Parts that a shorter saved
-    conversation no longer has are removed.
+    ``created_at`` is set on creation only, ``updated_at`` on every save.
     """
-    key = F.concat_ws("\u0001", "conversation_id", "part")
-    source = saved.select("conversation_id", "part", "customer_id", "messages").withColumns(
-        {"document_key": key, "updated_at": now, "created_at": now}
+    offered = saved.select("conversation_id", F.struct("customer_id", "n_messages").alias("__new"))
+    merged = headers.join(offered, "conversation_id", "full_outer")
+    new = F.col("__new").isNotNull()
+    return merged.select(
+        "conversation_id",
+        F.when(new, F.col("__new.customer_id")).otherwise(F.col("customer_id")).alias("customer_id"),
+        F.coalesce("created_at", now).alias("created_at"),
+        F.when(new, now).otherwise(F.col("updated_at")).alias("updated_at"),
+        F.when(new, F.col("__new.n_messages")).otherwise(F.col("n_messages")).alias("n_messages"),
     )
-    updates = ["customer_id", "messages", "updated_at"]
-    inserts = ["document_key", "conversation_id", "part", "created_at", *updates]
-    merged = merge_upsert(documents.withColumn("document_key", key), source, "document_key", updates, inserts)
-    newest = saved.groupBy("conversation_id").agg(F.max("part").alias("last_part"))
-    if is_small(newest):
-        newest = F.broadcast(newest)
-    kept = merged.join(newest, "conversation_id", "left").filter("last_part is null or part <= last_part")
-    return kept.select(*documents.columns)
-
-
-def get(documents: DataFrame, ids: DataFrame) -> DataFrame:
-    """Documents of the requested conversations; unknown ids give no row."""
-    few = few_keys(ids, "conversation_id")
-    wanted = ids.select("conversation_id") if few is None else few
-    return documents.join(wanted, "conversation_id", "left_semi")
-
-
-def recent(documents: DataFrame, n: int = RECENT_DEFAULT) -> DataFrame:
-    """The most recently updated conversations per customer, without their messages."""
-    listed = documents.filter("part = 0").drop("messages", "part")
-    return latest_per_key(listed, ["customer_id"], "updated_at", "conversation_id", n)
+
+
+def replace_messages(messages: DataFrame, saved: DataFrame, saved_messages: DataFrame) -> DataFrame:
+    """Messages after a save: those of the saved conversations give way, also to fewer or to none."""
+    kept = messages.join(saved.select("conversation_id"), "conversation_id", "left_anti")
+    return kept.select(*messages.columns).unionByName(saved_messages.select(*messages.columns))
+
+
+def get(headers: DataFrame, ids: DataFrame) -> DataFrame:
+    """Headers of the requested conversations; unknown ids give no row."""
+    return headers.join(ids.select("conversation_id"), "conversation_id", "left_semi")
+
+
+def messages_of(messages: DataFrame, ids: DataFrame) -> DataFrame:
+    """Messages of the requested conversations, as rows."""
+    return messages.join(ids.select("conversation_id"), "conversation_id", "left_semi")
+
+
+def recent(headers: DataFrame, n: int = RECENT_DEFAULT) -> DataFrame:
+    """The most recently updated conversations per customer."""
+    return latest_per_key(headers, ["customer_id"], "updated_at", "conversation_id", n)
 
 
 def _last(messages: DataFrame) -> DataFrame:

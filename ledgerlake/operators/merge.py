@@ -23,15 +23,14 @@ def merge_upsert(
     columns stay as they were. Inserted rows get the ``insert`` columns, ``on_insert`` expressions,
     and null elsewhere. Two source rows with one key fail the job.
 
-    When counting shows that the source has few keys, it is broadcast to the target scan both for
-    updating and for finding which keys exist, and the target is not shuffled. Otherwise target and
-    source are shuffled by key.
+    Whether the source is broadcast to the target scan is left to Spark's size estimates and adaptive
+    execution; otherwise target and source are shuffled by key.
     """
     few = few_keys(source, key)
     changes = _one_row_per_key(source, key)
     cast = {f.name: f.dataType for f in target.schema}
     offered = changes.select(key, F.struct(*changes.columns).alias("__new"))
-    updated = target.join(offered if few is None else F.broadcast(offered), key, "left").select(
+    updated = target.join(offered, key, "left").select(
         *[
             F.when(F.col("__new").isNotNull(), F.col("__new")[c].cast(cast[c])).otherwise(F.col(c)).alias(c)
             if c in update

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerlake.functions.money import dollars
 from ledgerlake.operators.quality import broken_rules
-from ledgerlake.operators.skew import few_keys, frequent_keys, hot_join, restrict_to
+from ledgerlake.operators.skew import few_keys, restrict_to
 from ledgerlake.operators.spending import latest_as_list
 
 # Defaults and allowed ranges of the request arguments.
@@ -69,9 +69,9 @@ def balance_lookup(requests: DataFrame, accounts: DataFrame) -> DataFrame:
         "currency", "status", F.lit(True).alias("found"),
     )
     asked = few_keys(checked, "account_id")
-    answer = hot_join(
-        checked, restrict_to(wanted, asked, "account_id"), ["account_id"], "left", "account_id", ["request_id"]
-    ).withColumn("error", _error(F.col("found")))
+    answer = checked.join(restrict_to(wanted, asked, "account_id"), "account_id", "left").withColumn(
+        "error", _error(F.col("found"))
+    )
     return answer.select(
         "request_id", "account_id", "error", "details",
         *[_good(F.col(c)).alias(c) for c in ("account_type", "balance_dollars", "currency", "status")],
@@ -90,7 +90,7 @@ def recent_transactions(requests: DataFrame, accounts: DataFrame, transactions:
     )
     known = restrict_to(accounts.select("account_id", F.lit(True).alias("found")), asked, "account_id")
     book = known.join(lists, "account_id", "left")
-    answer = hot_join(checked, book, ["account_id"], "left", "account_id", ["request_id"]).withColumn(
+    answer = checked.join(book, "account_id", "left").withColumn(
         "error", _error(F.col("found"))
     )
     answer = answer.withColumn("items", _good(_first_items("limit")))
@@ -114,9 +114,7 @@ def category_spend(requests: DataFrame, accounts: DataFrame, transactions: DataF
          dollars(F.col("amount_cents")).alias("amount_dollars"), "merchant"],
     )
     known = restrict_to(accounts.select("account_id", F.lit(True).alias("found")), asked, "account_id")
-    hot = frequent_keys(checked, "account_id")
-    answer = hot_join(checked, known, ["account_id"], "left", "account_id", ["request_id"], hot)
-    answer = hot_join(answer, lists, ["account_id", "category"], "left", "account_id", ["request_id"], hot)
+    answer = checked.join(known, "account_id", "left").join(lists, ["account_id", "category"], "left")
     answer = answer.withColumn("error", _error(F.col("found"))).withColumn("items", _good(_first_items("limit")))
     total = F.aggregate("items", F.lit(0).cast("bigint"), lambda acc, item: acc + item["amount_cents"])
     return answer.select(
@@ -200,9 +198,16 @@ def dispatch(requests: DataFrame, accounts: DataFrame, transactions: DataFrame,
                               accounts, transactions),
                CATEGORY_TOOL, F.col("count"), F.col("total_dollars")),
     ]
-    known = [BALANCE_TOOL, RECENT_TOOL, CATEGORY_TOOL]
-    if retrieve is not None:
-        known.append(POLICY_TOOL)
+    known = [BALANCE_TOOL, RECENT_TOOL, CATEGORY_TOOL, POLICY_TOOL]
+    if retrieve is None:  # a known tool without its source is no unknown tool
+        parts.append(
+            of(POLICY_TOOL).select(
+                "request_id", "tool_name", F.lit("retrieval_unavailable").alias("error"),
+                nothing.cast("bigint").alias("result_count"), nothing.cast("double").alias("amount_dollars"),
+                F.to_json(F.struct(F.lit("retrieval_unavailable").alias("error"))).alias("response"),
+            )
+        )
+    else:
         parts.append(
             shaped(policy_lookup(of(POLICY_TOOL).select("request_id", "query", "max_results"), retrieve),
                    POLICY_TOOL, F.size("results"), nothing)

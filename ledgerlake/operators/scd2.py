@@ -9,6 +9,8 @@ trusted: the other part was copied from the operational table and may be older t
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -59,14 +61,15 @@ def _timeline(snapshot: DataFrame, changes: DataFrame) -> DataFrame:
     """Customer states in time: what each instant sets, null where it sets nothing.
 
     One customer and instant is one row. Events there win over a snapshot row, and of several events
-    of one type the largest counts.
+    of one type the largest counts. Events of customers that the snapshot doesn't know are left out.
     """
     nothing = [F.lit(None).alias(f"{name}_event") for name in ("address", "risk")]
     start = snapshot.select(
         "customer_id", F.col("enrollment_date").cast("timestamp_ntz").alias("at"),
         _address().alias("address"), _risk().alias("risk"), *nothing,
     )
-    events = changes.filter(F.col("change_type").isin(ADDRESS, RISK)).select(
+    known = changes.join(snapshot.select("customer_id"), "customer_id", "left_semi")
+    events = known.filter(F.col("change_type").isin(ADDRESS, RISK)).select(
         "customer_id", F.col("change_timestamp").alias("at"), F.lit(None).alias("address"), F.lit(None).alias("risk"),
         F.when(F.col("change_type") == ADDRESS, _address()).alias("address_event"),
         F.when(F.col("change_type") == RISK, _risk()).alias("risk_event"),
@@ -96,24 +99,34 @@ def sequenced_history(snapshot: DataFrame, changes: DataFrame, grain: str = "mon
 
 
 def first_changes(changes: DataFrame) -> DataFrame:
-    """The earliest change per customer: what one single-change merge run applies."""
+    """The earliest change per customer: what one single-change merge run applies.
+
+    Changes of one instant go by type, then by payload, so the largest payload of a type is applied
+    last, as in a rebuild. Equal rows are one change.
+    """
     others = [c for c in changes.columns if c != "customer_id"]
-    position = F.struct("change_timestamp", "change_type", "address_line", "state_code", "risk_rating")
+    trusted = F.when(F.col("change_type") == RISK, F.col("risk_rating"))
+    position = F.struct(
+        "change_timestamp", "change_type", trusted.alias("trusted"), "address_line", "state_code", "risk_rating"
+    )
     earliest = changes.groupBy("customer_id").agg(F.min_by(F.struct(*others), position).alias("first"))
     return earliest.select("customer_id", "first.*").select(*changes.columns)
 
 
 def pending_changes(changes: DataFrame) -> DataFrame:
     """Changes a single-change run leaves for later runs."""
-    event = ["customer_id", "change_timestamp", "change_type"]
-    return changes.join(first_changes(changes).select(*event), event, "left_anti")
+    names = changes.columns
+    first = first_changes(changes).toDF(*[f"first_{c}" for c in names])
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"first_{c}")) for c in names])
+    return changes.distinct().join(first, same, "left_anti")
 
 
 def merge_changes(history: DataFrame, changes: DataFrame) -> DataFrame:
     """Close-out-and-insert of at most one change per customer.
 
-    Only open rows, one per customer, are joined; closed rows pass through untouched. Changes that
-    alter nothing or are not later than the open row are skipped (see ``skipped_changes``).
+    Only open rows, one per customer, are joined; closed rows pass through untouched. A change of the
+    very instant at which the open row begins alters that row instead of closing it. Changes that alter
+    nothing or are earlier than the open row are skipped (see ``skipped_changes``).
     """
     open_rows = history.filter("is_current")
     matched = open_rows.join(_offered(changes), "customer_id", "left")
@@ -125,6 +138,9 @@ def merge_changes(history: DataFrame, changes: DataFrame) -> DataFrame:
         **_after(), "effective_from": F.col("new_at"),
     }
     versions = F.when(
+        _applies() & (F.col("new_at") == F.col("effective_from")),
+        F.array(F.struct(*[{**opened, "effective_from": F.col("effective_from")}[c].alias(c) for c in HISTORY])),
+    ).when(
         _applies(),
         F.array(
             F.struct(*[closed[c].alias(c) for c in HISTORY]), F.struct(*[opened[c].alias(c) for c in HISTORY])
@@ -139,7 +155,7 @@ def skipped_changes(history: DataFrame, changes: DataFrame) -> DataFrame:
     joined = _offered(changes).join(history.filter("is_current"), "customer_id", "left")
     reason = (
         F.when(F.col("effective_from").isNull(), "unknown_customer")
-        .when(F.col("new_at") <= F.col("effective_from"), "stale")
+        .when(F.col("new_at") < F.col("effective_from"), "stale")
         .when(~_applies(), "no_change")
     )
     return joined.select(
@@ -170,7 +186,7 @@ def _after() -> dict[str, Column]:
 def _applies() -> Column:
     same = [value.eqNullSafe(F.col(name)) for name, value in _after().items()]
     return F.coalesce(
-        (F.col("new_at") > F.col("effective_from")) & ~(same[0] & same[1] & same[2]), F.lit(False)
+        (F.col("new_at") >= F.col("effective_from")) & ~(same[0] & same[1] & same[2]), F.lit(False)
     )
 
 

@@ -7,13 +7,14 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 
+from ledgerlake.functions.moments import clock_time
 from ledgerlake.functions.money import dollars
 from ledgerlake.sources.versions import VersionedTable
 
 
 def _ingested(as_of: dt.datetime | None) -> Column:
     if as_of is None:
-        return F.current_timestamp()
+        return clock_time(F.current_timestamp())
     return F.lit(as_of.isoformat(sep=" ")).cast("timestamp_ntz")
 
 

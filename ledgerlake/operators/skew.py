@@ -1,67 +1,33 @@
-"""Joins whose left side may have hot keys, and size checks before broadcasting."""
+"""Restricting a large table to the keys that were asked for, by plan-time size estimates only.
 
-from __future__ import annotations
-
-from collections.abc import Sequence
+No job runs while a plan is built, and no broadcast is forced: Spark's own size guard and adaptive
+execution decide, and adaptive execution splits the partitions of hot keys.
+"""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from __future__ import annotations
 
-BROADCAST_ROWS = 50_000
-HOT_SHARE = 0.01
-SALTS = 32
+from pyspark.sql import DataFrame
 
+BROADCAST_SETTING = "spark.sql.autoBroadcastJoinThreshold"
 
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows; stops reading once it has seen more."""
-    return len(df.select(F.lit(1)).take(max_rows + 1)) <= max_rows
 
+def estimated_bytes(df: DataFrame) -> int:
+    """Spark's estimate of the size of ``df``, from its optimised plan; nothing is run."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
-def frequent_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> list:
-    """Every key that holds more than ``share`` of the rows, at most ``1/share`` values.
 
-    One mergeable pass without a shuffle by key. The list may contain colder keys too, which costs a
-    few replicated rows and never changes a result.
-    """
-    found = df.stat.freqItems([key], share).first()[0]
-    return [value for value in found if value is not None]
+def broadcast_bytes(df: DataFrame) -> int:
+    """Up to which estimated size Spark broadcasts a join side."""
+    setting = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return int(setting)
 
 
-def few_keys(wanted: DataFrame, key: str, max_rows: int = BROADCAST_ROWS) -> DataFrame | None:
-    """The distinct keys, marked for broadcast, when counting them shows that they are few."""
+def few_keys(wanted: DataFrame, key: str) -> DataFrame | None:
+    """The distinct keys, if Spark expects them to be small enough for a broadcast."""
     keys = wanted.select(key).distinct()
-    return F.broadcast(keys) if is_small(keys, max_rows) else None
+    return keys if estimated_bytes(keys) <= broadcast_bytes(keys) else None
 
 
 def restrict_to(df: DataFrame, keys: DataFrame | None, key: str) -> DataFrame:
     """Drop rows nobody asked for, without a shuffle of ``df``; many keys are left to the later join."""
     return df if keys is None else df.join(keys, key, "left_semi")
-
-
-def hot_join(
-    left: DataFrame,
-    right: DataFrame,
-    on: Sequence[str],
-    how: str,
-    hot_key: str,
-    spread: Sequence[str],
-    hot: Sequence | None = None,
-    salts: int = SALTS,
-) -> DataFrame:
-    """Join a left side with hot values of ``hot_key`` to a right side with few rows per key.
-
-    Left rows of hot keys are spread over ``salts`` sub-keys by a hash of ``spread``; only the right
-    rows of those keys are replicated. All other keys join as usual.
-    """
-    hot = frequent_keys(left, hot_key) if hot is None else list(hot)
-    if not hot:
-        return left.join(right, list(on), how)
-    is_hot = F.col(hot_key).isin(hot)
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in spread]), F.lit(salts)).cast("int")
-    salted_left = left.withColumn("__salt", _choose(is_hot, salt, F.lit(0)))
-    copies = _choose(is_hot, F.sequence(F.lit(0), F.lit(salts - 1)), F.array(F.lit(0)))
-    salted_right = right.withColumn("__salt", F.explode(copies))
-    return salted_left.join(salted_right, [*on, "__salt"], how).drop("__salt")
-
-
-def _choose(condition: Column, yes: Column, no: Column) -> Column:
-    return F.when(condition, yes).otherwise(no)

@@ -165,14 +165,15 @@ def change_type_counts(spark: SparkSession, folder: str) -> DataFrame:
 # conversations ------------------------------------------------------------
 
 
-def _documents(messages: DataFrame) -> DataFrame:
-    """Documents with owner and times: an hour of conversation per message."""
-    turns = messages.select("conversation_id", "turn", "role", "text")
+def _headers(messages: DataFrame) -> DataFrame:
+    """Headers with owner and times: an hour of conversation per message."""
     owners = messages.groupBy("conversation_id").agg(F.max("customer_id").alias("customer_id"))
     started = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
-    return conversations.assemble(conversations.text_messages(turns)).join(owners, "conversation_id").withColumns(
-        {"created_at": started, "updated_at": started + F.make_dt_interval(hours=F.col("n_messages").cast("int"))}
-    )
+    return conversations.headers(messages, owners, started, started + F.make_dt_interval(hours=F.col("n_messages").cast("int")))
+
+
+def _blocks(messages: DataFrame) -> DataFrame:
+    return conversations.text_messages(messages.select("conversation_id", "turn", "role", "text"))
 
 
 _DOCUMENTS = """documents_of AS (
@@ -193,7 +194,8 @@ def _transcript():
     s.with_(s.MESSAGES, _DOCUMENTS) + "SELECT conversation_id, customer_id, n_messages, sha256(transcript) AS transcript_hash FROM documents_of",
 )
 def conversation_docs(spark: SparkSession, folder: str) -> DataFrame:
-    return _documents(s.messages(spark, folder)).select(
+    messages = s.messages(spark, folder)
+    return conversations.document(_headers(messages), _blocks(messages)).select(
         "conversation_id", "customer_id", "n_messages", F.sha2(_transcript(), 256).alias("transcript_hash")
     )
 
@@ -206,7 +208,7 @@ def conversation_docs(spark: SparkSession, folder: str) -> DataFrame:
 def conversation_get(spark: SparkSession, folder: str) -> DataFrame:
     messages = s.messages(spark, folder)
     ids = messages.filter("role = 'system'").select("conversation_id")
-    return conversations.get(_documents(messages), ids).select("conversation_id", "n_messages")
+    return conversations.get(_headers(messages), ids).select("conversation_id", "n_messages")
 
 
 @query(
@@ -217,7 +219,7 @@ def conversation_get(spark: SparkSession, folder: str) -> DataFrame:
 FROM documents_of QUALIFY rn <= 10""",
 )
 def conversation_recent(spark: SparkSession, folder: str) -> DataFrame:
-    return conversations.recent(_documents(s.messages(spark, folder))).withColumn("rn", F.col("rn").cast("bigint"))
+    return conversations.recent(_headers(s.messages(spark, folder))).withColumn("rn", F.col("rn").cast("bigint"))
 
 
 @query(
@@ -232,12 +234,9 @@ def conversation_upsert(spark: SparkSession, folder: str) -> DataFrame:
     """Stored are conversations with a system message, still without answers; all are saved again."""
     messages = s.messages(spark, folder)
     guided = messages.filter("role = 'system'").select("conversation_id").distinct()
-    stored = _documents(messages.filter("role <> 'assistant'").join(guided, "conversation_id", "left_semi"))
+    stored = _headers(messages.filter("role <> 'assistant'").join(guided, "conversation_id", "left_semi"))
     now = F.lit(s.AS_OF.isoformat(sep=" ")).cast("timestamp_ntz")
-    saved = conversations.upsert(stored.drop("n_messages"), _documents(messages), now)
-    return saved.select(
-        "conversation_id", "customer_id", F.size("messages").cast("bigint").alias("n_messages"), "created_at", "updated_at"
-    )
+    return conversations.upsert(stored, _headers(messages), now)
 
 
 @query(

@@ -176,17 +176,22 @@ def version_counts(history: DataFrame) -> DataFrame:
 def version_diff(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     """Key and kind (added, removed, changed) of every row that differs.
 
-    Only the key and a digest of each row are shuffled, not the rows.
+    A column that one version lacks counts as null there. Only the key and a 64-bit hash of each row
+    are shuffled, not the rows; nulls are part of the hash.
     """
-    columns = sorted(set(before.columns) & set(after.columns) - {key})
-    row_digest = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
-    old = before.select(key, row_digest.alias("old_digest"))
-    new = after.select(key, row_digest.alias("new_digest"))
-    joined = old.join(new, key, "full_outer")
+    types = {f.name: f.dataType for f in [*before.schema, *after.schema] if f.name != key}
+    names = sorted(types)
+
+    def hashed(rows: DataFrame, name: str) -> DataFrame:
+        given = [F.col(f"`{n}`") if n in rows.columns else F.lit(None).cast(types[n]) for n in names]
+        given = [v.cast(types[n]) for v, n in zip(given, names)]
+        return rows.select(key, F.xxhash64(*given, *[v.isNull() for v in given]).alias(name))
+
+    joined = hashed(before, "old_hash").join(hashed(after, "new_hash"), key, "full_outer")
     return joined.select(
         key,
-        F.when(F.col("old_digest").isNull(), "added")
-        .when(F.col("new_digest").isNull(), "removed")
-        .when(F.col("old_digest") != F.col("new_digest"), "changed")
+        F.when(F.col("old_hash").isNull(), "added")
+        .when(F.col("new_hash").isNull(), "removed")
+        .when(F.col("old_hash") != F.col("new_hash"), "changed")
         .alias("change"),
     ).filter(F.col("change").isNotNull())

@@ -15,7 +15,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ledgerlake import schemas
 from ledgerlake.operators.scd2 import HISTORY, initial_history, sequenced_history
-from ledgerlake.operators.skew import hot_join, is_small
 
 _INITIAL = -1
 
@@ -47,8 +46,6 @@ class HistoryStream:
         if first_month is None:
             return
         since = new.groupBy("customer_id").agg(F.min("change_timestamp").alias("since"))
-        if is_small(since):
-            since = F.broadcast(since)
 
         events = (
             self._changes().filter((F.col("batch") <= batch_id) & (F.col("month") >= first_month))
@@ -88,7 +85,7 @@ def _valid(versions: DataFrame) -> DataFrame:
         versions.groupBy("customer_id", "batch").agg(F.min("effective_from").alias("first"))
         .select("customer_id", "batch", F.min("first").over(newer).alias("replaced_from"))
     )
-    marked = hot_join(versions, replaced, ["customer_id", "batch"], "left", "customer_id", ["effective_from"])
+    marked = versions.join(replaced, ["customer_id", "batch"], "left")
     return marked.filter("replaced_from is null or effective_from < replaced_from").select(*HISTORY)
 
 

@@ -72,40 +72,52 @@ def test_append_continues_the_turns(spark, messages, rows):
     assert added.count() == len(MESSAGES) + 3
 
 
-def test_documents_are_bounded_parts(spark, rows):
-    turns = spark.range(2500).selectExpr("'long' as conversation_id", "2499 - id as turn", "'user' as role", "cast(id as string) as text")
-    documents = c.assemble(c.text_messages(turns))
-    assert rows(documents, "part", "n_messages") == [(0, 1000), (1, 1000), (2, 500)]
-    assert rows(c.message_counts(documents)) == [("long", 2500)]
-    first = documents.filter("part = 1").first()["messages"]
-    assert [m["turn"] for m in first] == list(range(1000, 2000))
-
-
-def stored(spark, sizes, customer="C-1"):
-    turns = [(cid, t, "user", "x") for cid, n in sizes.items() for t in range(n)]
-    df = spark.createDataFrame(turns, "conversation_id string, turn long, role string, text string")
-    day = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
-    return c.assemble(c.text_messages(df)).drop("n_messages").withColumns(
-        {"customer_id": F.lit(customer), "created_at": day, "updated_at": day}
-    )
+def day(value="2024-01-01"):
+    return F.lit(f"{value} 00:00:00").cast("timestamp_ntz")
+
+
+def stored(spark, sizes, customer="C-1", first=0):
+    turns = [(cid, first + t, "user", "x") for cid, n in sizes.items() for t in range(n)]
+    messages = c.text_messages(spark.createDataFrame(turns, "conversation_id string, turn long, role string, text string"))
+    owners = messages.select("conversation_id", F.lit(customer).alias("customer_id")).distinct()
+    return c.headers(messages, owners, day(), day()), messages
+
 
+def test_long_and_late_conversations_are_whole(spark, rows):
+    """1,500 turns are one conversation, and one that begins with turn 1200 is listed."""
+    headers, messages = stored(spark, {"long": 1500})
+    late, late_messages = stored(spark, {"late": 3}, first=1200)
+    both = headers.unionByName(late)
+    assert rows(c.recent(both), "conversation_id", "n_messages") == [("late", 3), ("long", 1500)]
+    ids = spark.createDataFrame([("long",), ("late",)], "conversation_id string")
+    assert rows(c.get(both, ids), "conversation_id", "n_messages") == [("late", 3), ("long", 1500)]
+    assert c.messages_of(messages.unionByName(late_messages), ids).count() == 1503
+    document = c.document(headers, messages).collect()
+    assert len(document) == 1 and [m["turn"] for m in document[0]["messages"]] == list(range(1500))
 
-def test_upsert_sets_creation_once_and_drops_old_parts(spark):
+
+def test_upsert_sets_creation_once(spark, rows):
     now = dt.datetime(2024, 6, 1)
-    documents = stored(spark, {"a": 1500, "b": 2})
-    saved = c.upsert(documents, stored(spark, {"a": 3, "c": 1}, "C-2"), F.lit(now.isoformat(sep=" ")).cast("timestamp_ntz"))
-    found = {(r["conversation_id"], r["part"]): r for r in saved.collect()}
-    assert set(found) == {("a", 0), ("b", 0), ("c", 0)}
-    assert found["a", 0]["created_at"] == dt.datetime(2024, 1, 1) and found["a", 0]["updated_at"] == now
-    assert found["a", 0]["customer_id"] == "C-2" and len(found["a", 0]["messages"]) == 3
-    assert found["b", 0]["updated_at"] == dt.datetime(2024, 1, 1)
-    assert found["c", 0]["created_at"] == now
+    headers, messages = stored(spark, {"a": 1500, "b": 2})
+    saved, saved_messages = stored(spark, {"a": 1700, "c": 1}, "C-2")
+    after = {r["conversation_id"]: r for r in c.upsert(headers, saved, day("2024-06-01")).collect()}
+    assert set(after) == {"a", "b", "c"}
+    assert after["a"]["created_at"] == dt.datetime(2024, 1, 1) and after["a"]["updated_at"] == now
+    assert after["a"]["customer_id"] == "C-2" and after["a"]["n_messages"] == 1700
+    assert after["b"]["updated_at"] == dt.datetime(2024, 1, 1) and after["b"]["customer_id"] == "C-1"
+    assert after["c"]["created_at"] == now
+    replaced = c.replace_messages(messages, saved, saved_messages)
+    assert rows(replaced.groupBy("conversation_id").count()) == [("a", 1700), ("b", 2), ("c", 1)]
+
+
+def test_upsert_may_shorten(spark, rows):
+    _, messages = stored(spark, {"a": 1500})
+    saved, saved_messages = stored(spark, {"a": 3})
+    assert c.replace_messages(messages, saved, saved_messages).count() == 3
 
 
 def test_recent_and_get(spark, rows):
-    documents = stored(spark, {f"k{i:02d}": 1 for i in range(12)})
-    listed = c.recent(documents)
-    assert rows(listed, "conversation_id") == [(f"k{i:02d}",) for i in range(10)]
-    assert "messages" not in listed.columns
+    headers, _ = stored(spark, {f"k{i:02d}": 1 for i in range(12)})
+    assert rows(c.recent(headers), "conversation_id") == [(f"k{i:02d}",) for i in range(10)]
     ids = spark.createDataFrame([("k03",), ("none",)], "conversation_id string")
-    assert rows(c.get(documents, ids), "conversation_id") == [("k03",)]
+    assert rows(c.get(headers, ids), "conversation_id") == [("k03",)]

@@ -73,7 +73,8 @@ def test_small_source_leaves_the_target_unshuffled(spark, tmp_path, accounts, up
         "timestamp_ntz'2020-01-01' as created_at", "timestamp_ntz'2020-01-01' as ingested_at", "1.0D as balance_dollars",
     ).write.parquet(str(tmp_path / "a"))
     target = spark.read.parquet(str(tmp_path / "a"))
-    merged = merge.merge_accounts(target, updates)
+    updates.write.parquet(str(tmp_path / "u"))  # its size is then known to Spark, which broadcasts it by itself
+    merged = merge.merge_accounts(target, spark.read.parquet(str(tmp_path / "u")))
     plan = merged._jdf.queryExecution().executedPlan().toString()
     assert "LeftOuter, BuildRight" in plan and "LeftSemi, BuildRight" in plan and "Cartesian" not in plan
     # both keys of the source exist in this target

@@ -1,46 +1,52 @@
-import pytest
-from pyspark.sql import functions as F
+"""Restriction to asked keys without jobs, and request operators that start none while they are planned."""
 
-from ledgerlake.operators.skew import few_keys, frequent_keys, hot_join, is_small, restrict_to
+import pytest
 
+from ledgerlake.operators import requests
+from ledgerlake.operators.merge import merge_accounts, merge_upsert
+from ledgerlake.operators.skew import few_keys, restrict_to
+from ledgerlake.plans import standins as s
 
-@pytest.fixture
-def skewed(spark):
-    keys = F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), (F.col("id") % 500).cast("string")))
-    return spark.range(3000).select("id", keys.alias("k"))
+FOLDER = "/root/testdata/sf0.001"
 
 
 @pytest.fixture
-def answers(spark):
-    return spark.createDataFrame([("hot", 1), ("k1", 2), ("k2", 3), ("k2", 4), ("zzz", 5)], "k string, v int")
-
-
-def test_frequent_keys_has_no_misses(skewed):
-    assert "hot" in frequent_keys(skewed, "k")
-    assert len(frequent_keys(skewed, "k", share=0.1)) <= 10
-
-
-@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_hot_join_equals_plain_join(skewed, answers, rows, how):
-    columns = ["id", "k"] if how.startswith("left_") else ["id", "k", "v"]
-    plain = skewed.join(answers, ["k"], how).select(*columns)
-    assert rows(hot_join(skewed, answers, ["k"], how, "k", ["id"]).select(*columns)) == rows(plain)
-
-
-def test_hot_key_is_spread(skewed, answers):
-    joined = hot_join(skewed.repartition(1), answers, ["k"], "left", "k", ["id"], hot=["hot"])
-    plan = joined._jdf.queryExecution().optimizedPlan().toString()
-    assert "__salt" in plan and "xxhash64" in plan
-
-
-def test_join_without_hot_keys_and_null_keys(spark, rows, answers):
-    left = spark.createDataFrame([(1, None), (2, "k1")], "id int, k string")
-    assert rows(hot_join(left, answers, ["k"], "left", "k", ["id"]), "id", "v") == [(1, None), (2, 2)]
-
-
-def test_size_check(spark, skewed, answers, rows):
-    assert is_small(spark.range(10), 10) and not is_small(spark.range(11), 10)
-    few = few_keys(answers, "k", max_rows=100)
-    assert rows(restrict_to(skewed, few, "k"), "k") == rows(skewed.join(answers, "k", "left_semi"), "k")
-    assert few_keys(answers, "k", max_rows=1) is None
-    assert restrict_to(skewed, None, "k") is skewed
+def jobs(spark):
+    """How many jobs a function starts."""
+    tracker = spark.sparkContext.statusTracker()
+
+    def count(work):
+        before = set(tracker.getJobIdsForGroup(None))
+        work()
+        return len(set(tracker.getJobIdsForGroup(None)) - before)
+
+    return count
+
+
+def test_few_keys_are_estimated(spark, rows):
+    answers = spark.sql("SELECT * FROM VALUES ('hot', 1), ('k1', 2), ('k2', 3), ('k2', 4) AS t(k, v)")
+    table = spark.range(300).selectExpr("id", "case when id % 3 = 0 then 'hot' else 'k' || id % 50 end as k")
+    few = few_keys(answers, "k")
+    assert few is not None
+    assert rows(restrict_to(table, few, "k"), "id", "k") == rows(table.join(answers, "k", "left_semi"), "id", "k")
+    large = spark.range(10**9).selectExpr("cast(id as string) as k")
+    assert few_keys(large, "k") is None
+    assert restrict_to(table, None, "k") is table
+
+
+def test_operators_start_no_job(spark, jobs):
+    accounts, transactions = s.accounts(spark, FOLDER), s.transactions(spark, FOLDER)
+    asked = accounts.selectExpr("account_id as request_id", "account_id", "'A' as category", "5 as limit")
+    assert jobs(lambda: requests.balance_lookup(asked, accounts)) == 0
+    assert jobs(lambda: requests.recent_transactions(asked, accounts, transactions)) == 0
+    assert jobs(lambda: requests.category_spend(asked, accounts, transactions)) == 0
+    assert jobs(lambda: merge_accounts(accounts, accounts)) == 0
+    assert jobs(lambda: accounts.count()) > 0
+
+
+def test_no_broadcast_is_forced(spark):
+    """Few but wide source rows are left to Spark's own size guard."""
+    target = spark.range(10).selectExpr("cast(id as string) as k", "'' as v")
+    source = spark.range(20).selectExpr("cast(id as string) as k", "repeat('x', 1000000) as v")
+    merged = merge_upsert(target, source, "k", ["v"], ["k", "v"])
+    assert "Hint" not in merged._jdf.queryExecution().analyzed().toString()
