@@ -8,7 +8,7 @@ from ledgerlake.plans.catalog import ORACLES, QUERIES
 from tests.compare import connect, differences
 
 FOLDER = "/root/testdata/sf0.001"
-PYTHON = {"vector_topk", "vector_topk_lsh", "hybrid_rrf", "retriever_compare", "policy_lookup"}
+PYTHON = {"bm25_topk", "vector_topk", "vector_topk_lsh", "hybrid_rrf", "retriever_compare", "policy_lookup"}
 
 
 @pytest.fixture(scope="module")

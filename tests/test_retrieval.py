@@ -72,12 +72,15 @@ def test_scores_below_zero_rank_after_unmatched_chunks(spark):
         assert [r["chunk_id"] for r in found if r["query_id"] == name] == [f"d#{i}" for i in expected]
 
 
-def test_many_query_terms_take_the_shuffled_join(spark, random_texts, monkeypatch, rows):
+def test_query_blocks_give_the_same(spark, random_texts, monkeypatch, rows):
     index = bm25.build_index(corpus(spark, random_texts))
-    asked = spark.createDataFrame([("q", "wire fee limit")], "query_id string, query string")
-    broadcast = rows(bm25.scores(asked, index))
-    monkeypatch.setattr(bm25, "is_small", lambda df: False)
-    assert rows(bm25.scores(asked, index)) == broadcast
+    asked = spark.createDataFrame([(f"q{i}", " ".join(WORDS[i : i + 3])) for i in range(9)], "query_id string, query string")
+    whole = rows(bm25.search(asked, index))
+    monkeypatch.setattr(vectors, "QUERY_ROWS", 2)
+    monkeypatch.setattr(bm25, "SCAN_CHUNKS", 7)
+    assert rows(bm25.search(asked, index)) == whole
+    scored = {(r["query_id"], r["chunk_id"]): r["score"] for r in bm25.scores(asked, index).collect()}
+    assert all(scored.get((r["query_id"], r["chunk_id"]), 0.0) == r["score"] for r in bm25.search(asked, index).collect())
 
 
 # vectors
@@ -117,10 +120,29 @@ def test_nearest_is_exact_also_with_copies(spark, copies):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
-def test_blocks_give_the_same_as_the_scan(spark):
+def test_blocks_give_the_same_as_the_scan(spark, monkeypatch):
     queries, items, cos = vector_tables(spark, 25, 200, copies=4)
-    scored = vectors._grid(queries, items, 6, cell_rows=16)
-    assert as_lists(ranking.top_k(scored, 6, ranking.by_score(["item_id"]))) == plain_top(cos, 6)
+    monkeypatch.setattr(vectors, "QUERY_ROWS", 4)
+    assert as_lists(vectors.nearest(queries, items, k=6)) == plain_top(cos, 6)
+
+
+def test_search_shuffles_no_vectors(spark, base):
+    asked = spark.createDataFrame([(1, "report fraud")], "query_id int, query string")
+    plan = retrieval.search_vectors(asked, base)._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("MapInArrow") :].split("MapInArrow", 2)[1]
+    assert "Exchange" not in below.split("Scan parquet")[0]
+
+
+def test_hashed_search_finds_neighbours_of_one_table(spark):
+    """Recall on the given vectors, every twentieth as a query; both sides come from one DataFrame."""
+    given = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    items = given.selectExpr("cast(vec_id as string) as item_id", "embedding")
+    asked = given.filter("vec_id % 20 = 0").selectExpr("cast(vec_id as string) as query_id", "embedding")
+    exact, hashed = as_lists(vectors.nearest(asked, items)), as_lists(vectors.nearest_hashed(asked, items))
+    recall = np.mean([len(set(exact[q]) & set(hashed.get(q, []))) / 5 for q in exact])
+    assert recall >= 0.9
+    self_join = items.select("item_id", F.col("item_id").alias("query_id"), "embedding").limit(60)
+    assert vectors.nearest_hashed(self_join, self_join).filter("query_id = item_id and rank = 1").count() >= 59
 
 
 def test_fewer_items_than_k_and_no_queries(spark):
