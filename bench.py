@@ -16,7 +16,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from ledgerlake.plans.catalog import QUERIES  # noqa: E402
-from ledgerlake.session import build_session  # noqa: E402
+from ledgerlake.session import build_session, ship_package  # noqa: E402
 
 HEADLINE = [
     "silver_transactions", "totals_by_category", "category_spend_full", "silver_between",
@@ -40,6 +40,7 @@ def main() -> None:
     repeat = int(os.environ.get("BENCH_REPEAT", "1"))
     spark = build_session("bench", f"local[{cpus}]", spark__driver__memory="16g")
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     seconds(QUERIES["totals_by_category"], spark, folder)
     times = {
         name: round(statistics.median(seconds(QUERIES[name], spark, folder) for _ in range(repeat)), 3)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -26,3 +30,20 @@ def build_session(app_name: str = "ledgerlake", master: str | None = None, **set
     for key, value in settings.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application, so it need not be installed there."""
+    application = spark.sparkContext.applicationId
+    if application in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="ledgerlake-")).resolve() / "ledgerlake.zip"
+    with zipfile.ZipFile(archive, "w") as zipped:
+        for file in sorted(root.rglob("*.py")):
+            zipped.write(file, str(file.relative_to(root.parent)))
+    spark.sparkContext.addPyFile(str(archive))
+    _shipped.add(application)
