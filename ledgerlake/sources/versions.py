@@ -1,32 +1,18 @@
-"""Versioned Parquet tables: overwrite, time travel, history, restore, schema enforcement.
+"""Parquet datasets with a folder per version: ``version=N/operation=NAME/``, whole rows in each.
 
-Layout below the table path: ``data/vN/`` holds the files of a version and ``log/`` one row
-per commit. The log row is written last and readers start from the log, so an unfinished write is
-never visible. This is a convention for a single writer, not a commit protocol; use a table format
-where several writers meet.
+A version is there once Spark has marked its folder as complete, so an unfinished write is not seen.
+There is no log beside the data: versions are found by their folders, and their numbers of rows are
+counted from them. One writer at a time; use a table format where several writers meet.
 """
 
 from __future__ import annotations
 
-import datetime as dt
-import json
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
-LOG_SCHEMA = T.StructType(
-    [
-        T.StructField("version", T.LongType(), False),
-        T.StructField("timestamp", T.TimestampType(), False),
-        T.StructField("operation", T.StringType(), False),
-        T.StructField("data_versions", T.ArrayType(T.LongType()), False),
-        T.StructField("schema_json", T.StringType(), False),
-        T.StructField("num_rows", T.LongType(), False),
-        T.StructField("operation_metrics", T.MapType(T.StringType(), T.StringType()), False),
-    ]
-)
-
 
 class SchemaMismatch(ValueError):
     """The rows offered do not fit the table; nothing was written."""
@@ -59,24 +45,36 @@ class VersionedTable:
 
     # reading
 
-    def history(self) -> DataFrame:
-        """One row per commit, newest first."""
-        return self._log().select(
-            "version", "timestamp", "operation", "num_rows", "operation_metrics"
-        ).orderBy(F.desc("version"))
+    def versions(self) -> dict[int, str]:
+        """Operation of each complete version, by number."""
+        pattern = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/version=*/operation=*/_SUCCESS")
+        found = pattern.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
+        names = [re.search(r"version=(\d+)/operation=(\w+)/", str(f.getPath().toString())) for f in found]
+        return {int(n[1]): n[2] for n in names}
 
     def current_version(self) -> int | None:
-        entry = self._entry(None)
-        return None if entry is None else entry["version"]
+        return max(self.versions(), default=None)
 
     def read(self, version: int | None = None) -> DataFrame:
         """The newest or the given version, with the schema that version was written with."""
-        entry = self._entry(version)
-        if entry is None:
+        found = self.versions()
+        chosen = max(found, default=None) if version is None else version
+        if chosen not in found:
             raise LookupError(f"{self.path} has no version {'' if version is None else version}")
-        schema = T.StructType.fromJson(json.loads(entry["schema_json"]))
-        paths = [self._folder(v) for v in entry["data_versions"]]
-        return self.spark.read.schema(schema).parquet(*paths).select(*[F.col(f"`{n}`") for n in schema.names])
+        return self.spark.read.parquet(self._folder(chosen, found[chosen]))
+
+    def history(self) -> DataFrame:
+        """version, operation and number of rows of every version."""
+        parts = [
+            self.read(v).agg(F.count(F.lit(1)).alias("num_rows")).select(
+                F.lit(v).cast("bigint").alias("version"), F.lit(operation).alias("operation"), "num_rows"
+            )
+            for v, operation in sorted(self.versions().items())
+        ]
+        result = parts[0]
+        for part in parts[1:]:
+            result = result.unionByName(part)
+        return result
 
     # writing
 
@@ -87,86 +85,34 @@ class VersionedTable:
         allow_schema_change: bool = False,
         operation: str = "OVERWRITE",
     ) -> Commit:
-        """Publish ``rows`` as the whole table."""
-        self._ensure_log()
-        entry = self._entry(None)
-        if entry is not None and not allow_schema_change:
-            check_schema(T.StructType.fromJson(json.loads(entry["schema_json"])), rows.schema, exact=True)
-        version = 0 if entry is None else entry["version"] + 1
-        count = self._write(rows, version, partition_by)
-        return self._publish(version, operation, [version], rows.schema, count, {"numOutputRows": count})
-
-    def append(self, rows: DataFrame, partition_by: Sequence[str] = ()) -> Commit:
-        """Publish the current content plus ``rows``; only the new rows are written."""
-        self._ensure_log()
-        entry = self._entry(None)
-        if entry is None:
-            return self.overwrite(rows, partition_by, operation="APPEND")
-        schema = T.StructType.fromJson(json.loads(entry["schema_json"]))
-        check_schema(schema, rows.schema)
-        version = entry["version"] + 1
-        given = set(rows.columns)
-        fitted = rows.select(
-            *[
-                F.col(f.name) if f.name in given else F.lit(None).cast(f.dataType).alias(f.name)
-                for f in schema
-            ]
-        )
-        count = self._write(fitted, version, partition_by)
-        return self._publish(
-            version, "APPEND", [*entry["data_versions"], version], schema,
-            entry["num_rows"] + count, {"numOutputRows": count},
-        )
-
-    def restore(self, version: int) -> Commit:
-        """Make an old version the newest one; its files are referenced again, not copied."""
-        entry, newest = self._entry(version), self._entry(None)
-        if entry is None:
-            raise LookupError(f"{self.path} has no version {version}")
-        return self._publish(
-            newest["version"] + 1, "RESTORE", entry["data_versions"],
-            T.StructType.fromJson(json.loads(entry["schema_json"])), entry["num_rows"],
-            {"restoredVersion": version},
-        )
-
-    # internals
-
-    def _ensure_log(self) -> None:
-        """An empty log marks a new table; does nothing when the table exists."""
-        self.spark.createDataFrame([], LOG_SCHEMA).write.mode("ignore").parquet(f"{self.path}/log")
-
-    def _folder(self, version: int) -> str:
-        return f"{self.path}/data/v{version}"
-
-    def _log(self) -> DataFrame:
-        return self.spark.read.schema(LOG_SCHEMA).option("recursiveFileLookup", "true").parquet(f"{self.path}/log")
-
-    def _entry(self, version: int | None):
-        """The log row of a version (the newest by default): one small row, not table data."""
-        log = self._log()
-        if version is not None:
-            log = log.filter(F.col("version") == version)
-        return log.orderBy(F.desc("version")).first()
-
-    def _write(self, rows: DataFrame, version: int, partition_by: Sequence[str]) -> int:
+        """Write ``rows`` as the whole table, as a new version."""
+        newest = self.current_version()
+        if newest is not None and not allow_schema_change:
+            check_schema(self.read(newest).schema, rows.schema, exact=True)
+        version = 0 if newest is None else newest + 1
         seen = Observation()
         writer = rows.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite")
         if partition_by:
             writer = writer.partitionBy(*partition_by)
-        writer.parquet(self._folder(version))
-        return seen.get["rows"]
-
-    def _publish(self, version, operation, data_versions, schema, num_rows, metrics) -> Commit:
-        # written columns are nullable, as Parquet reads them back
-        nullable = T.StructType([T.StructField(f.name, f.dataType, True, f.metadata) for f in schema])
-        row = (
-            version, dt.datetime.now(dt.timezone.utc), operation, list(data_versions), nullable.json(),
-            num_rows, {k: str(v) for k, v in metrics.items()},
-        )
-        self.spark.createDataFrame([row], LOG_SCHEMA).coalesce(1).write.mode("overwrite").parquet(
-            f"{self.path}/log/commit-{version:020d}"
-        )
-        return Commit(version, num_rows)
+        writer.parquet(self._folder(version, operation))
+        return Commit(version, seen.get["rows"])
+
+    def append(self, rows: DataFrame, partition_by: Sequence[str] = ()) -> Commit:
+        """Write the current rows and ``rows`` as a new version; missing columns are null."""
+        newest = self.current_version()
+        if newest is None:
+            return self.overwrite(rows, partition_by, operation="APPEND")
+        current = self.read(newest)
+        check_schema(current.schema, rows.schema)
+        joined = current.unionByName(rows, allowMissingColumns=True)
+        return self.overwrite(joined, partition_by, operation="APPEND")
+
+    def restore(self, version: int, partition_by: Sequence[str] = ()) -> Commit:
+        """Write the rows of an old version as the newest one."""
+        return self.overwrite(self.read(version), partition_by, allow_schema_change=True, operation="RESTORE")
+
+    def _folder(self, version: int, operation: str) -> str:
+        return f"{self.path}/version={version}/operation={operation}"
 
 
 def version_counts(history: DataFrame) -> DataFrame:

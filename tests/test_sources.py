@@ -30,11 +30,8 @@ def test_overwrite_time_travel_and_restore(spark, table, rows):
     assert (table.read().count(), table.read(0).count(), table.current_version()) == (10, 50, 1)
     table.restore(0)
     assert rows(table.read()) == rows(people(spark, 50))
-    assert [(r["version"], r["operation"], r["num_rows"]) for r in table.history().collect()] == [
-        (2, "RESTORE", 50), (1, "OVERWRITE", 10), (0, "OVERWRITE", 50),
-    ]
+    assert rows(table.history()) == [(0, "OVERWRITE", 50), (1, "OVERWRITE", 10), (2, "RESTORE", 50)]
     assert rows(version_counts(table.history())) == [(0, 50), (1, 10), (2, 50)]
-    assert table.history().first()["operation_metrics"] == {"restoredVersion": "0"}
     with pytest.raises(LookupError):
         table.read(7)
 
@@ -63,12 +60,23 @@ def test_schema_changes_need_the_flag_and_old_versions_keep_theirs(spark, table)
 
 def test_unfinished_write_is_not_seen(spark, table):
     table.overwrite(people(spark, 3))
-    people(spark, 99).write.parquet(f"{table.path}/data/v1")
+    half = f"{table.path}/version=1/operation=OVERWRITE"
+    people(spark, 99).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(half)
     assert table.read().count() == 3
     table.overwrite(people(spark, 4))
     assert table.read().count() == 4
 
 
+def test_diff_of_changed_columns(spark, rows):
+    before = people(spark, 3)
+    after = before.withColumn("note", F.when(F.col("customer_id") == "C-001", F.lit("new")))
+    assert rows(version_diff(before, after, "customer_id")) == [("C-001", "changed")]
+    assert rows(version_diff(after, before, "customer_id")) == [("C-001", "changed")]
+    swapped = spark.createDataFrame([("k", None, "a")], "k string, x string, y string")
+    other = spark.createDataFrame([("k", "a", None)], "k string, x string, y string")
+    assert rows(version_diff(swapped, other, "k")) == [("k", "changed")]
+
+
 def test_diff(spark, rows):
     before = people(spark, 4)
     after = people(spark, 5).filter("customer_id <> 'C-000'").withColumn(
