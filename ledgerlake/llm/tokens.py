@@ -2,18 +2,25 @@
 
 Both pre-tokenizers used here treat the words of a text one by one, so a text's ids are those of its
 words in a row. Each task keeps the ids (or counts) of the words it has met, up to a bound, and asks
-the library for new ones only. Texts with anything but plain spacing go to the library as a whole.
+the library for new ones only. Plain words with marks behind them are asked for in two parts, as the
+pre-tokenizers part them there. Texts with anything but plain spacing, and other words, go to the
+library as they are.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 
-import numpy as np
+#: Words that a task keeps before the older half of them is dropped.
+KEPT_WORDS = 400_000
+#: Words of one request to the library.
+REQUEST = 512
 
-#: Words that a task keeps before it starts anew.
-KEPT_WORDS = 300_000
+# letters of ASCII and Latin-1, then ASCII marks; an apostrophe may begin a contraction, a digit stands alone
+_PARTED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 def load(path: str):
@@ -24,24 +31,68 @@ def load(path: str):
     return Tokenizer.from_file(path)
 
 
+class Kept:
+    """Values by key of the last keys asked for; ``make`` gives those of a list of new keys."""
+
+    def __init__(self, make, bound: int = KEPT_WORDS):
+        self.make, self.bound = make, bound
+        self.now: dict = {}
+        self.before: dict = {}
+
+    def hold(self, keys: set) -> dict:
+        """Values of all ``keys`` and more; keys not asked for since the last two renewals are dropped."""
+        if len(self.now) > self.bound:
+            self.now, self.before = {}, self.now
+        now, before = self.now, self.before
+        new = [k for k in keys if k not in now]
+        if before:
+            now.update([(k, before[k]) for k in new if k in before])
+            new = [k for k in new if k not in before]
+        if new:
+            now.update(zip(new, self.make(new)))
+        return now
+
+
 class WordIds:
-    """Ids of texts under a tokenizer that drops white space (a word never meets its neighbours)."""
+    """Ids of texts under a tokenizer that lowers case and drops white space."""
 
     def __init__(self, path: str):
         self.tokenizer = load(path)
-        self.known: dict[bytes, bytes] = {}
+        self.parts = Kept(self._encode)
+        self.words = Kept(self._assemble)
+
+    def _encode(self, parts: list[str]) -> list[bytes]:
+        """Ids of each part; parts that stand for one pre-token each go to the library as one text."""
+        found = []
+        for begin in range(0, len(parts), REQUEST):
+            some = parts[begin : begin + REQUEST]
+            coded = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            word = coded.word_ids
+            cuts = [i for i in range(len(word)) if not i or word[i] != word[i - 1]]
+            if len(cuts) == len(some):
+                ids = array("I", coded.ids).tobytes()
+                found += [ids[4 * i : 4 * j] for i, j in zip(cuts, [*cuts[1:], len(word)])]
+            else:
+                found += self._each(some)
+        return found
+
+    def _each(self, texts: list[str]) -> list[bytes]:
+        coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [array("I", c.ids).tobytes() for c in coded]
+
+    def _assemble(self, words: list[bytes]) -> list[bytes]:
+        split = [_PARTED.fullmatch(word.decode()) for word in words]
+        pairs = [(m[1].lower(), m[2]) if m else None for m in split]
+        parts = self.parts.hold({p for pair in pairs if pair for p in pair if p})
+        others = [w.decode() for w, pair in zip(words, pairs) if not pair]
+        whole = iter([ids for i in range(0, len(others), REQUEST) for ids in self._each(others[i : i + REQUEST])])
+        return [parts[p[0]] + (parts[p[1]] if p[1] else b"") if p else next(whole) for p in pairs]
 
     def __call__(self, texts: list[bytes | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        words = [t.split() if t else [] for t in texts]
-        known = self.known
-        if len(known) > KEPT_WORDS:
-            known.clear()
-        new = list({w for row in words for w in row if w not in known})
-        if new:
-            coded = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-            known.update((w, np.array(c.ids, dtype="<u4").tobytes()) for w, c in zip(new, coded))
-        return [b"".join([known[w] for w in row]) for row in words]
+        rows = [t.split() if t else [] for t in texts]
+        known = self.words.hold(set().union(*rows))
+        return [b"".join([known[w] for w in row]) for row in rows]
 
 
 class TokenCounts:
@@ -49,36 +100,42 @@ class TokenCounts:
 
     def __init__(self, path: str):
         self.tokenizer = load(path)
-        self.first: dict[str, int] = {}
-        self.later: dict[str, int] = {}
-
-    def _learn(self, known: dict[str, int], words: set[str], before: str) -> None:
-        if len(known) > KEPT_WORDS:
-            known.clear()
-        new = [w for w in words if w not in known]
-        if new:
-            coded = self.tokenizer.encode_batch_fast([before + w for w in new], add_special_tokens=False)
-            known.update(zip(new, map(len, coded)))
+        self.parts = Kept(self._count)
+        self.first = Kept(lambda words: self._assemble(words, ""))
+        self.later = Kept(lambda words: self._assemble(words, " "))
+
+    def _count(self, parts: list[str]) -> list[int]:
+        found = []
+        for begin in range(0, len(parts), REQUEST):
+            found += map(len, self.tokenizer.encode_batch_fast(parts[begin : begin + REQUEST], add_special_tokens=False))
+        return found
+
+    def _assemble(self, words: list[str], before: str) -> list[int]:
+        split = []
+        for word in words:
+            match = _PARTED.fullmatch(word)
+            split.append((before + match[1], match[2]) if match else (before + word, ""))
+        parts = self.parts.hold({p for pair in split for p in pair})
+        return [parts[a] + parts[b] for a, b in split]
 
     def __call__(self, texts: list[str]) -> list[int]:
         counts = [0] * len(texts)
         plain, odd = [], []
         for i, text in enumerate(texts):
-            lines = [line.split(" ") for line in text.split("\n")]
+            lines = text.split("\n")
+            parted = [line.split(" ") for line in lines]
             # single spaces and single line ends between words: each word stands alone
-            if "<|" in text or any(line.split() != words for line, words in zip(text.split("\n"), lines)):
+            if "<|" in text or any(line.split() != words for line, words in zip(lines, parted)):
                 odd.append(i)
             else:
-                plain.append((i, lines))
-        self._learn(self.first, {lines[0] for _, p in plain for lines in p}, "")
-        self._learn(self.later, {w for _, p in plain for line in p for w in line[1:]}, " ")
-        first, later = self.first, self.later
+                plain.append((i, parted))
+        first = self.first.hold({line[0] for _, lines in plain for line in lines})
+        later = self.later.hold(set().union(*[line[1:] for _, lines in plain for line in lines])).__getitem__
         for i, lines in plain:
-            counts[i] = len(lines) - 1 + sum([first[w[0]] + sum([later[x] for x in w[1:]]) for w in lines])
+            counts[i] = len(lines) - 1 + sum([first[line[0]] + sum(map(later, line[1:])) for line in lines])
         if odd:
-            coded = self.tokenizer.encode_batch_fast([texts[i] for i in odd], add_special_tokens=False)
-            for i, c in zip(odd, coded):
-                counts[i] = len(c)
+            for i, n in zip(odd, self._count([texts[i] for i in odd])):
+                counts[i] = n
         return counts
 
 
