@@ -41,7 +41,7 @@ def test_pipeline(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     rows = {r["doc_id"]: r["text"] for r in docs.collect()}
     model = language.fit(docs.select("doc_id", "text", "lang"), held_out(4, 2))
-    accepted = {i: t for i, t in rows.items() if model.predict([t], {})[1][0] >= model.threshold}
+    accepted = {i: t for i, t in rows.items() if model.predict([t])[1][0] >= model.threshold}
     ids = sorted(accepted)
     top = plain.groups([plain.fingerprint(accepted[i]) for i in ids], 2)
     kept = [i for place, i in enumerate(ids) if top[place] == place]
