@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ledgerlake.llm.common import aside
+from ledgerlake.llm.tokens import forget
 
 BUCKETS = 1 << 16
 DIMENSION = 16
@@ -32,7 +33,7 @@ CALIBRATION = 0.2
 LOST = 0.001
 UNKNOWN = "und"
 
-KEPT_WORDS = 200_000
+KEPT_WORDS = 100_000
 _WORD = re.compile(r"[^\W\d_]+")
 _STEP = np.uint64(0x100000001B3)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -251,10 +252,15 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         model = shared.value
         known = Known(model.logits)
         for batch in batches:
-            names, scores = model.predict(batch.column(batch.num_columns - 1).to_pylist(), known)
+            names, scores = [], []
+            for begin in range(0, batch.num_rows, 250):
+                some = model.predict(batch.column(batch.num_columns - 1).slice(begin, 250).to_pylist(), known)
+                names += some[0]
+                scores += some[1]
             accepted = [n != UNKNOWN and s >= model.threshold for n, s in zip(names, scores)]
             columns = [batch.column(i) for i in range(batch.num_columns - 1)]
             made = [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(accepted, pa.bool_())]

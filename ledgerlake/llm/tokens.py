@@ -150,6 +150,11 @@ def of_worker(kind, path: str):
     return _loaded[key]
 
 
+def forget() -> None:
+    """Drop the tokenizers and words that this worker keeps; another operator's task needs the memory."""
+    _loaded.clear()
+
+
 def version(path: str) -> str:
     """A digest of a tokenizer file's content and of the library's version."""
     import tokenizers
