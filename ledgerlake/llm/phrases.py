@@ -208,7 +208,9 @@ def _windows(dealt: DataFrame, window: int, phrase: int) -> DataFrame:
 
 def repeated_windows(docs: DataFrame, measures: DataFrame, window: int, phrase: int) -> tuple[DataFrame, DataFrame]:
     """Texts that hold candidates (tid, tid2, text, ...), and rows (tid, tid2, starts) of repeated windows."""
-    texts = measures.groupBy("tid", "tid2").agg(F.min("doc_id").alias("least"))
+    by_row = measures.groupBy("tid", "tid2", "doc_id").agg(F.count(F.lit(1)).alias("n")).groupBy("tid", "tid2")
+    alike = F.coalesce(F.min_by("n", "doc_id"), F.max("n"))  # rows that have the least id, or none have one
+    texts = by_row.agg(F.min("doc_id").alias("least"), alike.alias("alike"))
     places = measures.select("tid", F.explode("phrases").alias("p")).select("tid", F.col("p.hash").alias("hash"), F.col("p.pos").alias("pos"))
     place = F.xxhash64("tid", "pos")
     counted = places.groupBy("hash").agg(F.min(place).alias("a"), F.max(place).alias("z"), F.min("tid").alias("first"))
@@ -218,7 +220,10 @@ def repeated_windows(docs: DataFrame, measures: DataFrame, window: int, phrase:
     wanted = flagged.join(texts, "tid").withColumnsRenamed({"tid": "w_tid", "tid2": "w_tid2"}).hint("shuffle_hash")
     keyed = docs.select("doc_id", "text", *_identity())
     same = (F.col("tid") == F.col("w_tid")) & (F.col("tid2") == F.col("w_tid2")) & F.col("doc_id").eqNullSafe(F.col("least"))
-    held = written(keyed.join(wanted, same).select("tid", "tid2", "text", "candidates"), "phrase-texts")
+    found = written(keyed.join(wanted, same).select("tid", "tid2", "text", "candidates", "alike"), "phrase-texts")
+    # fully repeated rows share the least id: one of them stays, and no other text is shuffled for it
+    once = found.where("alike > 1").dropDuplicates(["tid", "tid2"])
+    held = found.where("alike = 1").unionByName(once).drop("alike")
     n_phrases = held.agg(F.coalesce(F.sum(F.size("candidates")), F.lit(0))).first()[0]
     shards = max(1, n_phrases // (2 * SHARD_PHRASES))
     rows = written(_passages(held, shards, window, phrase), "phrase-passages")

@@ -241,6 +241,16 @@ def test_repeats(odd_docs, window, phrase):
     same(map(tuple, phrases.remove_repeats(odd_docs, window, phrase).collect()), expected)
 
 
+def test_fully_repeated_rows_that_share_a_passage_stay_single(spark):
+    shared = " ".join(f"s{i}" for i in range(40))
+    nulls = " ".join(f"n{i}" for i in range(50))
+    rows = [(7, shared)] * 2 + [(8, shared + " tail")] + [(None, nulls)] * 5 + [(9, "head " + nulls)]
+    rows += [(3, shared + " end"), (None, shared + " end"), (None, shared + " end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    expected = [(d, *r) for (d, _), r in zip(rows, plain.repeats([t for _, t in rows], 35))]
+    same(map(tuple, phrases.remove_repeats(docs).collect()), expected)
+
+
 def test_repeats_in_small_shards(odd_docs, monkeypatch):
     monkeypatch.setattr(phrases, "SHARD_PHRASES", 2)
     monkeypatch.setattr(phrases, "SHARD_PASSAGES", 3)
