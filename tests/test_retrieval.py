@@ -145,6 +145,20 @@ def test_hashed_search_finds_neighbours_of_one_table(spark):
     assert vectors.nearest_hashed(self_join, self_join).filter("query_id = item_id and rank = 1").count() >= 59
 
 
+@pytest.mark.parametrize("bits", [7, 10, 13])
+def test_hashed_search_keeps_recall_where_few_cells_are_probed(spark, monkeypatch, bits):
+    """Every twentieth of 2,000 vectors as a query, in up to 8,192 cells, of which few are probed."""
+    given = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    items = given.selectExpr("cast(vec_id as string) as item_id", "embedding")
+    asked = given.filter("vec_id % 20 = 0").selectExpr("cast(vec_id as string) as query_id", "embedding")
+    probes, measure = [], vectors.measured_probes
+    monkeypatch.setattr(vectors, "measured_probes", lambda *given: probes.append(measure(*given)) or probes[0])
+    exact, hashed = as_lists(vectors.nearest(asked, items)), as_lists(vectors.nearest_hashed(asked, items, bits=bits))
+    recall = np.mean([len(set(exact[q]) & set(hashed.get(q, []))) / 5 for q in exact])
+    print(f"bits {bits} probes {probes[0]} recall {recall:.3f}")
+    assert recall >= 0.9 and probes[0] <= 0.1 * 2**bits
+
+
 def test_fewer_items_than_k_and_no_queries(spark):
     queries, items, cos = vector_tables(spark, 3, 4)
     assert as_lists(vectors.nearest(queries, items, k=9)) == plain_top(cos, 9)
