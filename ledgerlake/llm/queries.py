@@ -7,7 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerlake.llm import decontamination, language, merkle, packing, phrases, quality, secret_scan, sharding, simhash, token_counts
+from ledgerlake.llm import (
+    alignment, decontamination, language, merkle, packing, phrases, quality, secret_scan, sharding, simhash, suffixes, token_counts,
+    whitening,
+)
 from ledgerlake.llm.common import documents, held_out
 from ledgerlake.workspace import new_folder
 
@@ -188,3 +191,48 @@ FROM docs LEFT JOIN removed USING (r)
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     """Every document without its repeated passages."""
     return phrases.remove_repeats(documents(spark, folder), window=35)
+
+
+@query("op11_embedding_whitening")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """The first four whitened components of every embedding."""
+    found = whitening.whiten(spark.read.parquet(f"{folder}/embeddings.parquet"))
+    return found.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+@query("op12_tokenizer_alignment")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's tokens of two vocabularies, aligned."""
+    a, b = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.align_tokens(documents(spark, folder), a, b)
+
+
+_OP13 = """
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+strings AS (
+  SELECT r, i, md5(substr(h, 2 * i + 1, 800)) AS key
+  FROM (SELECT r, h, unnest(range(0, length(h) // 2 - 399)) AS i FROM docs WHERE length(h) >= 800)
+),
+again AS (SELECT r, i FROM strings WHERE key IN (SELECT key FROM strings GROUP BY key HAVING count(*) > 1)),
+runs AS (
+  SELECT r, min(i) AS b, max(i) + 400 AS e FROM (
+    SELECT r, i, sum(CASE WHEN i <= before + 400 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS run
+    FROM (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM again))
+  GROUP BY r, run
+),
+gaps AS (
+  SELECT r, coalesce(lag(e) OVER w, 0) AS b, b AS e FROM runs WINDOW w AS (PARTITION BY r ORDER BY b)
+  UNION ALL SELECT r, max(e), any_value(length(h) // 2) FROM runs JOIN docs USING (r) GROUP BY r
+),
+kept AS (SELECT r, string_agg(substr(h, 2 * b + 1, 2 * (e - b)), '' ORDER BY b) AS k FROM gaps JOIN docs USING (r) GROUP BY r),
+removed AS (SELECT r, sum(e - b) AS n, count(*) AS spans FROM runs GROUP BY r)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN n IS NULL THEN h ELSE k END)) AS kept_sha256
+FROM docs LEFT JOIN removed USING (r) LEFT JOIN kept USING (r)
+"""
+
+
+@query("op13_suffix_array_dedup", _OP13)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without its repeated byte strings."""
+    return suffixes.remove_repeats(documents(spark, folder), window=400)
