@@ -13,6 +13,11 @@ def micros(moment: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", _epoch(), moment)
 
 
+def moment_of(number: Column) -> Column:
+    """The zone-free time that is ``number`` microseconds after 1970."""
+    return F.timestamp_add("MICROSECOND", number, _epoch())
+
+
 def utc_instant(moment: Column) -> Column:
     """The instant at which a UTC clock shows ``moment``; watermarks need such a zoned time."""
     return F.timestamp_micros(micros(moment))

@@ -9,7 +9,7 @@ any number of them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerlake.operators.spending import latest_per_key
 
@@ -19,6 +19,9 @@ HEADER = ["conversation_id", "customer_id", "created_at", "updated_at", "n_messa
 TURN_CAP_DEFAULT, TURN_CAP_MAX = 10, 50
 RECENT_DEFAULT = 10
 
+# Turns of a leaf of a transcript's tree of digests, and children of a node.
+RANGE = 64
+
 BLOCK = (
     "struct<text: string, "
     "toolUse: struct<name: string, input: string, toolUseId: string>, "
@@ -48,6 +51,28 @@ def document(headers: DataFrame, messages: DataFrame) -> DataFrame:
     return headers.join(nested, "conversation_id", "left")
 
 
+def transcript_digests(messages: DataFrame, line: Column) -> DataFrame:
+    """(conversation_id, digest): a tree of SHA-256 digests over ranges of turns.
+
+    A leaf is the digest of the lines of ``RANGE`` numbered turns, joined by line ends; a node is that of its up to
+    ``RANGE`` children's hex digests, and a single child stands for itself. No task sees more of a conversation
+    than one range, and equal transcripts with equal turns, numbered from 0 or more, have equal digests, whatever
+    other conversations hold.
+    """
+    place = F.floor(F.col("turn") / RANGE)
+    lines = F.sort_array(F.collect_list(F.struct("turn", line.alias("line"))))
+    nodes = messages.groupBy("conversation_id", place.alias("place")).agg(lines.alias("lines"))
+    nodes = nodes.select("conversation_id", "place", F.sha2(F.array_join("lines.line", "\n"), 256).alias("digest"))
+    last, size = messages.agg(F.max("turn")).first()[0] or 0, RANGE
+    while size <= last:
+        children = F.sort_array(F.collect_list(F.struct("place", "digest")))
+        above = nodes.groupBy("conversation_id", F.floor(F.col("place") / RANGE).alias("above")).agg(children.alias("c"))
+        whole = F.when(F.size("c") == 1, F.col("c")[0]["digest"]).otherwise(F.sha2(F.array_join("c.digest", ""), 256))
+        nodes = above.select("conversation_id", F.col("above").alias("place"), whole.alias("digest"))
+        size *= RANGE
+    return nodes.select("conversation_id", "digest")
+
+
 def append(messages: DataFrame, new: DataFrame) -> DataFrame:
     """Add messages after the existing ones; ``new`` has ``position`` 0, 1, ... per conversation."""
     last = messages.groupBy("conversation_id").agg(F.max("turn").alias("last_turn"))

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from ledgerlake.schemas import Contract
 
+VALID, QUARANTINED = "valid", "quarantined"
+
 
 def schema_problems(df: DataFrame, contract: Contract) -> list[str]:
     """Differences between a DataFrame's schema and the contract, without reading data."""
@@ -73,6 +75,24 @@ def split_quarantine(df: DataFrame, contract: Contract) -> tuple[DataFrame, Data
     return marked.filter(F.size("reasons") == 0).drop("reasons"), marked.filter(F.size("reasons") > 0)
 
 
+def write_outcomes(df: DataFrame, contract: Contract, path: str) -> tuple[DataFrame, dict[str, int]]:
+    """Write every row below ``path`` under its outcome, ``valid`` or ``quarantined``, with its reasons.
+
+    One job with one scan of ``df`` writes both and counts them; returns the written rows and the counts.
+    """
+    seen = Observation()
+    marked = marked_rows(df, contract)
+    counts = [F.count_if(F.col("outcome") == o).alias(o) for o in (VALID, QUARANTINED)]
+    marked.observe(seen, *counts).write.mode("overwrite").partitionBy("outcome").parquet(path)
+    return df.sparkSession.read.schema(marked.schema).parquet(path), seen.get
+
+
+def marked_rows(df: DataFrame, contract: Contract) -> DataFrame:
+    """Rows with their reasons and outcome."""
+    marked = df.withColumn("reasons", broken_rules(row_rules(contract)))
+    return marked.withColumn("outcome", F.when(F.size("reasons") == 0, VALID).otherwise(QUARANTINED))
+
+
 def duplicate_keys(df: DataFrame, contract: Contract) -> DataFrame:
     """Keys found more than once, for the primary key and every unique column."""
     found = [

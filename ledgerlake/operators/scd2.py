@@ -4,6 +4,9 @@ A history row is valid in the half-open range [effective_from, effective_to); th
 end and ``is_current`` true. Address and state change together (ADDRESS events), the risk rating by
 itself (RISK_RATING events). Events carry a full image, but only the part named by their type is
 trusted: the other part was copied from the operational table and may be older than an earlier event.
+
+A merge and a rebuild follow one rule: an event opens a version if it changes what holds just before it. One that
+repeats it, one from before the enrollment and one of a customer that the snapshot doesn't know open none.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerlake.functions.moments import micros
-from ledgerlake.operators.ordered import segment_of, segmented_scan
+from ledgerlake.operators.ranges import range_scan
 
 ADDRESS, RISK = "ADDRESS", "RISK_RATING"
 
@@ -61,14 +64,16 @@ def _timeline(snapshot: DataFrame, changes: DataFrame) -> DataFrame:
     """Customer states in time: what each instant sets, null where it sets nothing.
 
     One customer and instant is one row. Events there win over a snapshot row, and of several events
-    of one type the largest counts. Events of customers that the snapshot doesn't know are left out.
+    of one type the largest counts. Events of customers that the snapshot doesn't know, and those from
+    before the enrollment, are left out.
     """
     nothing = [F.lit(None).alias(f"{name}_event") for name in ("address", "risk")]
     start = snapshot.select(
         "customer_id", F.col("enrollment_date").cast("timestamp_ntz").alias("at"),
         _address().alias("address"), _risk().alias("risk"), *nothing,
     )
-    known = changes.join(snapshot.select("customer_id"), "customer_id", "left_semi")
+    enrolled = snapshot.select("customer_id", F.col("enrollment_date").cast("timestamp_ntz").alias("__since"))
+    known = changes.join(enrolled, "customer_id").filter(F.col("change_timestamp") >= F.col("__since"))
     events = known.filter(F.col("change_type").isin(ADDRESS, RISK)).select(
         "customer_id", F.col("change_timestamp").alias("at"), F.lit(None).alias("address"), F.lit(None).alias("risk"),
         F.when(F.col("change_type") == ADDRESS, _address()).alias("address_event"),
@@ -82,20 +87,19 @@ def _timeline(snapshot: DataFrame, changes: DataFrame) -> DataFrame:
     )
 
 
-def sequenced_history(snapshot: DataFrame, changes: DataFrame, grain: str = "month") -> DataFrame:
+def sequenced_history(snapshot: DataFrame, changes: DataFrame) -> DataFrame:
     """Full rebuild from the snapshot and all changes, any number per customer."""
-    rows = _timeline(snapshot, changes).withColumn("segment", segment_of("at", grain))
-    scanned = segmented_scan(
-        rows, ["customer_id"], ["at"], "segment",
-        carry={"address_now": "address", "risk_now": "risk"}, lead={"effective_to": "at"},
+    scanned = range_scan(
+        _timeline(snapshot, changes), ["customer_id"], ["at"],
+        carry={"address_now": "address", "risk_now": "risk"}, before={"address_before": "address", "risk_before": "risk"},
     )
-    return _history(
-        scanned.select(
-            "customer_id", "address_now.address_line", "address_now.state_code", "risk_now.risk_rating",
-            F.col("at").alias("effective_from"), "effective_to",
-            F.col("effective_to").isNull().alias("is_current"),
-        )
+    same = [F.col(f"{name}_now").eqNullSafe(F.col(f"{name}_before")) for name in ("address", "risk")]
+    versions = scanned.filter(~(same[0] & same[1])).select(
+        "customer_id", "address_now.address_line", "address_now.state_code", "risk_now.risk_rating",
+        F.col("at").alias("effective_from"),
     )
+    ended = range_scan(versions, ["customer_id"], ["effective_from"], lead={"effective_to": "effective_from"})
+    return _history(ended.withColumn("is_current", F.col("effective_to").isNull()))
 
 
 def first_changes(changes: DataFrame) -> DataFrame:
@@ -190,13 +194,10 @@ def _applies() -> Column:
     )
 
 
-def version_history(history: DataFrame, grain: str = "month") -> DataFrame:
+def version_history(history: DataFrame) -> DataFrame:
     """History with ``version_no`` counting from 1 within each customer."""
-    rows = history.withColumns({"one": F.lit(1), "segment": segment_of("effective_from", grain)})
-    numbered = segmented_scan(
-        rows, ["customer_id"], ["effective_from"], "segment", running={"version_no": "one"}
-    )
-    return numbered.drop("one", "segment")
+    rows = history.withColumn("__one", F.lit(1))
+    return range_scan(rows, ["customer_id"], ["effective_from"], running={"version_no": "__one"}).drop("__one")
 
 
 def snapshot_at(history: DataFrame, at: dt.datetime) -> DataFrame:
@@ -208,11 +209,10 @@ def snapshot_at(history: DataFrame, at: dt.datetime) -> DataFrame:
     )
 
 
-def history_violations(history: DataFrame, grain: str = "month") -> DataFrame:
+def history_violations(history: DataFrame) -> DataFrame:
     """Broken invariants per customer: current rows, empty ranges, gaps and overlaps."""
-    rows = history.withColumn("segment", segment_of("effective_from", grain))
-    following = segmented_scan(
-        rows, ["customer_id"], ["effective_from", "customer_key"], "segment", lead={"next_from": "effective_from"}
+    following = range_scan(
+        history, ["customer_id"], ["effective_from", "customer_key"], lead={"next_from": "effective_from"}
     )
     end, nxt = F.col("effective_to"), F.col("next_from")
     rules = {

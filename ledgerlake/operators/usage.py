@@ -4,16 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerlake.operators.ordered import segment_of, segmented_scan
+from ledgerlake.operators.ranges import range_scan
 
 
-def running_totals(log: DataFrame, grain: str = "day") -> DataFrame:
+def running_totals(log: DataFrame) -> DataFrame:
     """client_id, called_at, call_id, tokens -> calls and tokens so far, per client."""
-    rows = log.withColumns({"one": F.lit(1), "segment": segment_of("called_at", grain)})
-    return segmented_scan(
-        rows, ["client_id"], ["called_at", "call_id"], "segment",
-        running={"calls_so_far": "one", "tokens_so_far": "tokens"},
-    ).drop("one", "segment")
+    rows = log.withColumn("__one", F.lit(1))
+    running = {"calls_so_far": "__one", "tokens_so_far": "tokens"}
+    return range_scan(rows, ["client_id"], ["called_at", "call_id"], running=running).drop("__one")
 
 
 def totals(log: DataFrame) -> DataFrame:

@@ -10,7 +10,10 @@ from ledgerlake.operators import conversations, generators, pit, scd2
 from ledgerlake.operators import silver
 from ledgerlake.plans import standins as s
 from ledgerlake.plans.registry import query
+from ledgerlake.sources.buckets import BucketedTable
+from ledgerlake.streaming.corrected import CorrectedSilver, CorrectedTotals
 from ledgerlake.streaming.history import HistoryStream
+from ledgerlake.streaming.keyed_history import KeyedHistory
 from ledgerlake.streaming.tables import read_totals, silver_stream, totals_stream
 from ledgerlake.workspace import new_folder
 
@@ -26,16 +29,21 @@ _INITIAL = f"""initial AS (
 _TIMELINE = """timeline AS (
   SELECT customer_id, CAST(enrollment_date AS TIMESTAMP) AS moment, address_line AS a, state_code AS st, risk_rating AS r FROM customers
   UNION ALL
-  SELECT customer_id, change_timestamp, CASE WHEN change_type = 'ADDRESS' THEN address_line END,
-         CASE WHEN change_type = 'ADDRESS' THEN state_code END, CASE WHEN change_type = 'RISK_RATING' THEN risk_rating END
-  FROM changes)"""
-
-_SEQUENCED = f"""sequenced AS (
+  SELECT customer_id, change_timestamp, CASE WHEN change_type = 'ADDRESS' THEN changes.address_line END,
+         CASE WHEN change_type = 'ADDRESS' THEN changes.state_code END, CASE WHEN change_type = 'RISK_RATING' THEN changes.risk_rating END
+  FROM changes JOIN customers USING (customer_id) WHERE change_timestamp >= CAST(enrollment_date AS TIMESTAMP))"""
+
+# events that change nothing open no version
+_SEQUENCED = f"""states AS (
+  SELECT customer_id, last_value(a IGNORE NULLS) OVER w AS address_line, last_value(st IGNORE NULLS) OVER w AS state_code,
+         last_value(r IGNORE NULLS) OVER w AS risk_rating, moment AS effective_from
+  FROM timeline WINDOW w AS (PARTITION BY customer_id ORDER BY moment ROWS UNBOUNDED PRECEDING)),
+opened AS (
+  SELECT * FROM states QUALIFY (address_line, state_code, risk_rating)
+    IS DISTINCT FROM lag((address_line, state_code, risk_rating)) OVER (PARTITION BY customer_id ORDER BY effective_from)),
+sequenced AS (
   SELECT {_KEY}, *, effective_to IS NULL AS is_current FROM (
-    SELECT customer_id, last_value(a IGNORE NULLS) OVER w AS address_line, last_value(st IGNORE NULLS) OVER w AS state_code,
-           last_value(r IGNORE NULLS) OVER w AS risk_rating, moment AS effective_from,
-           lead(moment) OVER (PARTITION BY customer_id ORDER BY moment) AS effective_to
-    FROM timeline WINDOW w AS (PARTITION BY customer_id ORDER BY moment ROWS UNBOUNDED PRECEDING)))"""
+    SELECT *, lead(effective_from) OVER (PARTITION BY customer_id ORDER BY effective_from) AS effective_to FROM opened))"""
 
 _HISTORY = (s.CUSTOMERS, s.CHANGES, _TIMELINE, _SEQUENCED)
 
@@ -59,8 +67,7 @@ def scd2_dedupe_changes(spark: SparkSession, folder: str) -> DataFrame:
     return applied.unionByName(scd2.pending_changes(feed).withColumn("applied", F.lit(False)))
 
 
-@query(
-    "scd2_merge",
+_MERGE_SQL = (
     s.with_(s.CUSTOMERS, s.CHANGES, _INITIAL, _FIRST,
             """applied AS (
   SELECT i.customer_id, f.change_timestamp AS moment, change_type, i.effective_from AS since,
@@ -76,12 +83,25 @@ def scd2_dedupe_changes(spark: SparkSession, folder: str) -> DataFrame:
 FROM initial i LEFT JOIN applied a USING (customer_id)
 UNION ALL BY NAME
 SELECT {_KEY}, customer_id, address_line, state_code, risk_rating, effective_from, CAST(NULL AS TIMESTAMP) AS effective_to, true AS is_current
-FROM (SELECT *, moment AS effective_from FROM applied)""",
+FROM (SELECT *, moment AS effective_from FROM applied)"""
 )
+
+
+@query("scd2_merge", _MERGE_SQL)
 def scd2_merge(spark: SparkSession, folder: str) -> DataFrame:
     return scd2.merge_changes(scd2.initial_history(s.customers(spark, folder)), s.changes(spark, folder))
 
 
+@query("scd2_merge_touched", _MERGE_SQL)
+def scd2_merge_touched(spark: SparkSession, folder: str) -> DataFrame:
+    """The same merge into a history in buckets, of which only those of the changes are read and written."""
+    initial = scd2.initial_history(s.customers(spark, folder))
+    table = BucketedTable(spark, new_folder(spark, "history"), initial.schema, "customer_id", buckets=16)
+    table.overwrite(initial)
+    table.merge(s.changes(spark, folder), scd2.merge_changes)
+    return table.read()
+
+
 def _sequenced(spark: SparkSession, folder: str) -> DataFrame:
     return scd2.sequenced_history(s.customers(spark, folder), s.changes(spark, folder))
 
@@ -183,20 +203,31 @@ _DOCUMENTS = """documents_of AS (
   FROM messages GROUP BY 1)"""
 
 
-def _transcript():
-    return F.array_join(
-        F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"][0]["text"])), "\n"
-    )
+# leaves of 64 turns, nodes of 64 children, a single child stands for itself; enough levels for 64^3 turns
+_DIGESTS = """leaves AS (
+  SELECT conversation_id, turn // 64 AS place, sha256(string_agg(role || ':' || text, chr(10) ORDER BY turn)) AS digest
+  FROM messages GROUP BY ALL),
+nodes AS (
+  SELECT conversation_id, place // 64 AS place,
+         CASE WHEN count(*) = 1 THEN any_value(digest) ELSE sha256(string_agg(digest, '' ORDER BY place)) END AS digest
+  FROM leaves GROUP BY conversation_id, leaves.place // 64),
+roots AS (
+  SELECT conversation_id,
+         CASE WHEN count(*) = 1 THEN any_value(digest) ELSE sha256(string_agg(digest, '' ORDER BY place)) END AS digest
+  FROM nodes GROUP BY conversation_id)"""
 
 
 @query(
     "conversation_docs",
-    s.with_(s.MESSAGES, _DOCUMENTS) + "SELECT conversation_id, customer_id, n_messages, sha256(transcript) AS transcript_hash FROM documents_of",
+    s.with_(s.MESSAGES, _DOCUMENTS, _DIGESTS)
+    + """SELECT conversation_id, customer_id, n_messages, digest AS transcript_hash FROM documents_of JOIN roots USING (conversation_id)""",
 )
 def conversation_docs(spark: SparkSession, folder: str) -> DataFrame:
     messages = s.messages(spark, folder)
-    return conversations.document(_headers(messages), _blocks(messages)).select(
-        "conversation_id", "customer_id", "n_messages", F.sha2(_transcript(), 256).alias("transcript_hash")
+    line = F.concat("role", F.lit(":"), F.col("content")[0]["text"])
+    digests = conversations.transcript_digests(_blocks(messages), line)
+    return _headers(messages).join(digests, "conversation_id").select(
+        "conversation_id", "customer_id", "n_messages", F.col("digest").alias("transcript_hash")
     )
 
 
@@ -388,9 +419,54 @@ def stream_totals(spark: SparkSession, folder: str) -> DataFrame:
     return read_totals(spark, path)
 
 
+def _two_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The transactions as a stream of two files: those of odd days, then those of even days, mostly late."""
+    rows, path = s.card_transactions(s.table(spark, folder, "events")), new_folder(spark, "feed")
+    for name, rest in (("a", 1), ("b", 0)):
+        rows.filter(F.pmod(F.dayofmonth("timestamp"), F.lit(2)) == rest).coalesce(1).write.parquet(f"{path}/{name}")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+
+
+@query(
+    "stream_totals_corrected",
+    s.with_(s.CARD_TRANSACTIONS)
+    + """SELECT date_trunc('day', timestamp) AS period_start, category, count(*) AS n, CAST(sum(amount_cents) AS BIGINT) AS total_cents,
+       CAST(count(*) FILTER (day(timestamp) % 2 = 0 AND timestamp < (
+         SELECT max(timestamp) FROM card_transactions WHERE day(timestamp) % 2 = 1) - INTERVAL 1 DAY) AS BIGINT) AS late_n
+FROM card_transactions GROUP BY ALL""",
+)
+def stream_totals_corrected(spark: SparkSession, folder: str) -> DataFrame:
+    """Totals of a feed whose second half comes later than the watermark: those of a batch job, late rows counted."""
+    totals = CorrectedTotals(spark, new_folder(spark, "stream-totals"))
+    totals.start(_two_files(spark, folder), new_folder(spark, "checkpoint")).awaitTermination()
+    return totals.read()
+
+
+@query(
+    "stream_silver_corrected",
+    s.with_(s.CARD_TRANSACTIONS)
+    + """SELECT *, TIMESTAMP '2024-06-01' AS ingested_at, amount_cents / 100 AS amount_dollars,
+       CAST(year(timestamp) AS INTEGER) AS year, CAST(month(timestamp) AS INTEGER) AS month FROM card_transactions""",
+)
+def stream_silver_corrected(spark: SparkSession, folder: str) -> DataFrame:
+    table = CorrectedSilver(spark, new_folder(spark, "stream-silver"), as_of=s.AS_OF)
+    table.start(_two_files(spark, folder), new_folder(spark, "checkpoint")).awaitTermination()
+    return table.read(s.card_transactions(s.table(spark, folder, "events")))
+
+
 @query("stream_scd2", s.with_(*_HISTORY) + "SELECT * FROM sequenced")
 def stream_scd2(spark: SparkSession, folder: str) -> DataFrame:
-    """The change feed as a stream ends in the same history as the full rebuild."""
+    """The change feed as a stream with keyed state ends in the same history as the full rebuild."""
+    snapshot = s.customers(spark, folder)
+    history = KeyedHistory(spark, new_folder(spark, "stream-history"), snapshot)
+    feed = s.changes_from(_stream(spark, folder), snapshot)
+    history.start(feed, new_folder(spark, "checkpoint")).awaitTermination()
+    return history.read()
+
+
+@query("stream_scd2_files", s.with_(*_HISTORY) + "SELECT * FROM sequenced")
+def stream_scd2_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The same from stored events and versions instead of state."""
     snapshot = s.customers(spark, folder)
     history = HistoryStream(spark, new_folder(spark, "stream-history"), snapshot)
     feed = s.changes_from(_stream(spark, folder), snapshot)

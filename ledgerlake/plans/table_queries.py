@@ -10,6 +10,7 @@ from ledgerlake import schemas
 from ledgerlake.operators import merge, quality, requests, silver, spending, usage
 from ledgerlake.plans import standins as s
 from ledgerlake.plans.registry import query
+from ledgerlake.sources.buckets import BucketedTable
 from ledgerlake.sources.versions import VersionedTable, version_counts, version_diff
 from ledgerlake.workspace import new_folder
 
@@ -207,10 +208,8 @@ def fk_orphans(spark: SparkSession, folder: str) -> DataFrame:
        CASE WHEN balance_cents < -10000000 THEN 'balance_cents_minimum' ELSE '' END AS reasons FROM accounts""",
 )
 def quarantine(spark: SparkSession, folder: str) -> DataFrame:
-    valid, failing = quality.split_quarantine(s.accounts(spark, folder), schemas.ACCOUNTS)
-    return valid.select("account_id", F.lit("valid").alias("outcome"), F.lit("").alias("reasons")).unionByName(
-        failing.select("account_id", F.lit("quarantined").alias("outcome"), F.array_join("reasons", ",").alias("reasons"))
-    )
+    outcomes, _ = quality.write_outcomes(s.accounts(spark, folder), schemas.ACCOUNTS, new_folder(spark, "outcomes"))
+    return outcomes.select("account_id", "outcome", F.array_join("reasons", ",").alias("reasons"))
 
 
 @query(
@@ -446,6 +445,16 @@ def merge_accounts(spark: SparkSession, folder: str) -> DataFrame:
     return _merged(spark, folder)
 
 
+@query("merge_accounts_touched", s.with_(ACCOUNTS, TRANSACTIONS, _MERGED) + "SELECT * FROM merged")
+def merge_accounts_touched(spark: SparkSession, folder: str) -> DataFrame:
+    """The same upsert of a table in buckets, of which only those of the updates are read and written."""
+    accounts = silver_accounts(spark, folder)
+    table = BucketedTable(spark, new_folder(spark, "accounts"), accounts.schema, "account_id", buckets=16)
+    table.overwrite(accounts)
+    table.merge(_account_updates(spark, folder), merge.merge_accounts)
+    return table.read()
+
+
 def _customer_versions(spark: SparkSession, folder: str, until: int = 2) -> VersionedTable:
     """Version 0 all customers, 1 the first ten, 2 the restored version 0."""
     versioned = VersionedTable(spark, new_folder(spark, "customers"))

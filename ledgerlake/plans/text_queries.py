@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerlake.functions.text import WHITESPACE, content_hash, tokenize
 from ledgerlake.functions.vectors import norm
-from ledgerlake.operators import bm25, chunking, embeddings, requests, retrieval, vectors
+from ledgerlake.operators import bm25, cells, chunking, embeddings, requests, retrieval, vectors
 from ledgerlake.plans import standins as s
 from ledgerlake.plans.registry import query
 from ledgerlake.workspace import written
@@ -154,8 +154,8 @@ def _index(spark: SparkSession, folder: str) -> bm25.Bm25Index:
 )
 def bm25_stats(spark: SparkSession, folder: str) -> DataFrame:
     index = _index(spark, folder)
-    return spark.read.parquet(f"{index.path}/stats").withColumns(
-        {c: F.round(c, 6) for c in ("avg_length", "mean_idf")}
+    return index.stats_table.select(
+        "chunks", F.round("avg_length", 6).alias("avg_length"), "terms", F.round("mean_idf", 6).alias("mean_idf")
     )
 
 
@@ -217,6 +217,47 @@ def vector_topk_lsh(spark: SparkSession, folder: str) -> DataFrame:
     return hits.withColumn("rank", F.col("rank").cast("bigint"))
 
 
+def _every_twentieth(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector whose id is divisible by 20, as a query against all rows."""
+    asked = s.table(spark, folder, "embeddings").filter("vec_id % 20 = 0")
+    return written(asked.select(F.col("vec_id").cast("string").alias("query_id"), "embedding"), "vector-queries")
+
+
+@query(
+    "vector_cells_exact",
+    """SELECT CAST(q.vec_id AS VARCHAR) AS query_id, CAST(e.vec_id AS VARCHAR) AS item_id,
+       round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS score,
+       row_number() OVER (PARTITION BY q.vec_id ORDER BY
+         round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) DESC,
+         CAST(e.vec_id AS VARCHAR)) AS rank
+FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0 QUALIFY rank <= 5""",
+)
+def vector_cells_exact(spark: SparkSession, folder: str) -> DataFrame:
+    """Exact neighbours by the cells that angles can't rule out."""
+    hits = cells.build(_items(spark, folder)).nearest(_every_twentieth(spark, folder))
+    return hits.withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@query(
+    "vector_cells_recall",
+    """SELECT count(*) AS queries, 5 * count(*) AS neighbours, true AS nine_of_ten_found, true AS one_of_ten_scored
+FROM embeddings WHERE vec_id % 20 = 0""",
+)
+def vector_cells_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether approximate search finds nine tenths of the exact neighbours, and scores a tenth of the items at most."""
+    asked, items = _every_twentieth(spark, folder), _items(spark, folder)
+    index = cells.build(items)
+    exact = vectors.nearest(asked, items).select("query_id", "item_id", F.lit(1).alias("near"))
+    found = index.search(asked).select("query_id", "item_id", F.lit(1).alias("hit"))
+    both = exact.join(found, ["query_id", "item_id"], "left").agg(F.count("near").alias("neighbours"), F.count("hit").alias("hits"))
+    work = index.work(asked).agg(F.sum("scored").alias("scored"), F.count(F.lit(1)).alias("queries"))
+    n = F.lit(index.model.items)
+    return both.join(work).select(
+        "queries", "neighbours", (10 * F.col("hits") >= 9 * F.col("neighbours")).alias("nine_of_ten_found"),
+        (10 * F.col("scored") <= F.col("queries") * n).alias("one_of_ten_scored"),
+    )
+
+
 @query(
     "embedding_norms",
     "SELECT vec_id, round(sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))), 5) AS norm FROM embeddings",

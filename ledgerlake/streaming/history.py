@@ -36,7 +36,7 @@ class HistoryStream:
         self._write(initial_history(self.snapshot), _INITIAL)
 
     def read(self) -> DataFrame:
-        return _valid(self._versions())
+        return valid_versions(self._versions())
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
         months = batch.withColumn("month", _month(F.col("change_timestamp")))
@@ -55,7 +55,7 @@ class HistoryStream:
         states = ["address_line", "state_code", "risk_rating"]
         earlier = self._versions().filter(F.col("batch") < batch_id).join(since.select("customer_id"), "customer_id", "left_semi")
         base = (
-            _valid(earlier).join(since, "customer_id").filter("effective_from < since").groupBy("customer_id")
+            valid_versions(earlier).join(since, "customer_id").filter("effective_from < since").groupBy("customer_id")
             .agg(F.max_by(F.struct("effective_from", *states), "effective_from").alias("base"))
             .select("customer_id", F.col("base.effective_from").alias("enrollment_date"), *[f"base.{c}" for c in states])
         )
@@ -78,7 +78,7 @@ class HistoryStream:
         versions.select(*HISTORY).write.mode("overwrite").parquet(f"{self.path}/versions/batch={batch_id}")
 
 
-def _valid(versions: DataFrame) -> DataFrame:
+def valid_versions(versions: DataFrame) -> DataFrame:
     """Version rows that no later batch replaced."""
     newer = Window.partitionBy("customer_id").orderBy(F.desc("batch")).rowsBetween(Window.unboundedPreceding, -1)
     replaced = (

@@ -121,3 +121,48 @@ def test_recent_and_get(spark, rows):
     assert rows(c.recent(headers), "conversation_id") == [(f"k{i:02d}",) for i in range(10)]
     ids = spark.createDataFrame([("k03",), ("none",)], "conversation_id string")
     assert rows(c.get(headers, ids), "conversation_id") == [("k03",)]
+
+
+def digests(df):
+    line = F.concat("role", F.lit(":"), F.col("content")[0]["text"])
+    return {r["conversation_id"]: r["digest"] for r in c.transcript_digests(df, line).collect()}
+
+
+def test_transcript_digests_are_trees_over_ranges(spark, monkeypatch):
+    import hashlib
+
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    monkeypatch.setattr(c, "RANGE", 4)
+    turns = [(cid, t, "user", f"{cid}{t}") for cid, n in (("a", 3), ("b", 9), ("c", 70)) for t in range(n)]
+    turns += [("late", 21, "user", "x"), ("late", 22, "user", "y")]
+    made = lambda some: c.text_messages(spark.createDataFrame(some, "conversation_id string, turn long, role string, text string"))
+    found = digests(made(turns).repartition(3))
+
+    def plain(lines):
+        nodes = {}
+        for turn, line in lines:
+            nodes.setdefault(turn // 4, []).append(line)
+        nodes = {p: sha("\n".join(x)) for p, x in nodes.items()}
+        while set(nodes) != {0}:
+            above = {}
+            for p in sorted(nodes):
+                above.setdefault(p // 4, []).append(nodes[p])
+            nodes = {p: x[0] if len(x) == 1 else sha("".join(x)) for p, x in above.items()}
+        return nodes[0]
+
+    for cid in ("a", "b", "c", "late"):
+        assert found[cid] == plain([(t, f"user:{x}") for i, t, _, x in turns if i == cid])
+    # a digest does not depend on other conversations, and changes with any line
+    assert digests(made([t for t in turns if t[0] == "b"]))["b"] == found["b"]
+    other = [(i, t, r, "other" if (i, t) == ("b", 8) else x) for i, t, r, x in turns]
+    changed = digests(made(other))
+    assert changed["b"] != found["b"] and changed["c"] == found["c"]
+    assert digests(made(turns).limit(0)) == {}
+
+
+def test_a_hot_conversation_is_split_over_tasks(spark):
+    turns = spark.range(9000).selectExpr("case when id % 3 = 0 then 'hot' else 'c' || id % 700 end as conversation_id", "id as turn", "'user' as role", "'x' as text")
+    line = F.concat("role", F.lit(":"), F.col("content")[0]["text"])
+    leaves = c.text_messages(turns).groupBy("conversation_id", F.floor(F.col("turn") / c.RANGE).alias("p")).count()
+    assert leaves.agg(F.max("count")).first()[0] <= c.RANGE
+    assert c.transcript_digests(c.text_messages(turns), line).count() == turns.select("conversation_id").distinct().count()

@@ -58,3 +58,18 @@ def test_masking(spark):
     one = quality.mask_customers(people, "salt").first()
     assert (one["first_name"], one["last_name"], one["email"], one["address_line"]) == ("A***", "A***", "a***@x.com", "***")
     assert "customer_id" not in one.asDict() and one["customer_token"] != quality.mask_customers(people, "other").first()["customer_token"]
+
+
+def test_outcomes_are_written_in_one_scan(spark, rows, tmp_path):
+    df = accounts(spark, {"account_id": "ok"}, {"account_id": "low", "balance_cents": -10_000_001}, {"account_id": "nul", "currency": None})
+    source = str(tmp_path / "in")
+    df.write.parquet(source)
+    read = spark.read.parquet(source)
+    outcomes, counts = quality.write_outcomes(read, schemas.ACCOUNTS, str(tmp_path / "out"))
+    assert counts == {"valid": 1, "quarantined": 2}
+    assert rows(outcomes.filter("outcome = 'valid'"), "account_id") == [("ok",)]
+    assert rows(outcomes.filter("outcome = 'quarantined'"), "account_id", "reasons") == [("low", ["balance_cents_minimum"]), ("nul", ["currency_null"])]
+    plan = quality.marked_rows(read, schemas.ACCOUNTS)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Exchange" not in plan
+    valid, failing = quality.split_quarantine(read, schemas.ACCOUNTS)
+    assert valid.count() == 1 and failing.count() == 2
