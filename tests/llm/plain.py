@@ -93,3 +93,51 @@ def pieces(text, tokenizer, capacity=4096):
     ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [1]
     cuts = [(i, ids[i : i + capacity]) for i in range(0, len(ids), capacity)]
     return [(i, len(c), zlib.crc32(b"".join(x.to_bytes(4, "little") for x in c))) for i, c in cuts]
+
+
+def byte_repeats(texts, window):
+    """For each text: bytes, removed bytes, removed runs, digest of the kept ones."""
+    places = {}
+    rows = [(t or "").encode() for t in texts]
+    for r, data in enumerate(rows):
+        for i in range(len(data) - window + 1):
+            places.setdefault(data[i : i + window], []).append((r, i))
+    gone = [bytearray(len(data) + 1) for data in rows]
+    for found in places.values():
+        if len(found) > 1:
+            for r, i in found:
+                gone[r][i : i + window] = b"\1" * window
+    result = []
+    for data, g in zip(rows, gone):
+        kept = bytes(b for b, x in zip(data, g) if not x)
+        result.append((len(data), sum(g), bytes(g).count(b"\1\0"), hashlib.sha256(kept).hexdigest()))
+    return result
+
+
+def alignments(texts, ids_a, ids_b, bytes_a, bytes_b):
+    """For each text: n_a, n_b, n_groups, n_links, groups_sha256, n_best, count_sum, from whole texts' ids."""
+    rows, holds = [], {}
+    for text, a, b in zip(texts, ids_a, ids_b):
+        whole = f" {text}".encode()
+        if not text or any(b"".join(names[i] for i in ids) != whole for names, ids in ((bytes_a, a), (bytes_b, b))):
+            a = b = []
+        spans = []
+        for names, ids in ((bytes_a, a), (bytes_b, b)):
+            ends = [sum(len(names[i]) for i in ids[: k + 1]) for k in range(len(ids))]
+            spans.append(list(zip([0, *ends], ends)))
+        links = [(a[i], b[j]) for i, (s, e) in enumerate(spans[0]) for j, (t, f) in enumerate(spans[1]) if max(s, t) < min(e, f)]
+        shown, before = [], 0
+        for cut in sorted({e for _, e in spans[0]} & {e for _, e in spans[1]}):
+            sides = [",".join(str(i) for i, (s, e) in zip(ids, found) if before <= s < cut) for ids, found in zip((a, b), spans)]
+            shown.append("|".join(sides))
+            before = cut
+        for pair in set(links):
+            holds[pair] = holds.get(pair, 0) + 1
+        rows.append((len(a), len(b), len(shown), hashlib.sha256(";".join(shown).encode()).hexdigest() if a else "", links))
+    most = {}
+    for (a, _), n in holds.items():
+        most[a] = max(most.get(a, 0), n)
+    return [
+        (n_a, n_b, n, len(links), digest, sum(holds[p] == most[p[0]] for p in links), sum(holds[p] for p in links))
+        for n_a, n_b, n, digest, links in rows
+    ]
