@@ -19,6 +19,7 @@ from pyspark.sql.types import BooleanType, DoubleType, FloatType, IntegerType, I
 
 from ledgerlake.workspace import written
 
+MOST_PARTS_BITS = 20
 _PART, _HEAD, _TOP, _TAIL = "__part", "__head", "__top", "__tail"
 
 
@@ -90,7 +91,8 @@ def _borders(scanned: DataFrame, keys, carry, before, lead, running) -> DataFram
         *[F.last(f"s_{o}", ignorenulls=True).over(so_far).alias(f"s_{o}") for o in (*carry, *before)],
         *[F.sum(f"s_{o}").over(so_far).alias(f"s_{o}") for o in running],
     )
-    along = Window.orderBy(_PART)  # one row per partition
+    # one row per partition, and Spark has fewer partitions than this window holds
+    along = Window.partitionBy(F.shiftright(_PART, MOST_PARTS_BITS)).orderBy(_PART)
     beside = after.select(
         _PART,
         F.lag(F.struct("last", *[f"s_{o}" for o in (*carry, *before, *running)])).over(along).alias("p"),

@@ -354,9 +354,9 @@ def request_validation(spark: SparkSession, folder: str) -> DataFrame:
     return both.select("request_id", "recent_details", F.array_join("details", ",").alias("category_details"))
 
 
-@query(
-    "request_dispatch",
-    s.with_(ACCOUNTS, s.REQUESTS, TRANSACTIONS, _BY_CATEGORY, _SPEND_SQL,
+# what answers a request, and what is shown of it
+DISPATCH = (
+    ACCOUNTS, s.REQUESTS, TRANSACTIONS, _BY_CATEGORY, _SPEND_SQL,
             "sizes AS (SELECT account_id, count(*) AS n FROM transactions GROUP BY 1)",
             f"""answers AS (
   SELECT request_id, tool_name,
@@ -364,14 +364,17 @@ def request_validation(spark: SparkSession, folder: str) -> DataFrame:
               WHEN tool_name = 'search_transactions' AND NOT {_RANGE} THEN 'invalid_arguments'
               WHEN tool_name = 'search_transactions_by_category' AND NOT {_CATEGORY_RANGE} THEN 'invalid_arguments'
               WHEN a.account_id IS NULL THEN 'account_not_found' END AS error,
-         "limit", sizes.n AS size, spend.n, total, balance_cents
-  FROM requests r LEFT JOIN accounts a USING (account_id) LEFT JOIN sizes USING (account_id) JOIN spend USING (request_id))""")
-    + """SELECT request_id, tool_name, error,
+         "limit", sizes.n AS size, spend.n, total, balance_cents, status
+  FROM requests r LEFT JOIN accounts a USING (account_id) LEFT JOIN sizes USING (account_id) JOIN spend USING (request_id))""",
+)
+DISPATCHED = """SELECT request_id, tool_name, error,
        CASE WHEN error IS NOT NULL THEN NULL WHEN tool_name = 'search_transactions' THEN least("limit", coalesce(size, 0))
             WHEN tool_name = 'search_transactions_by_category' THEN n END AS result_count,
        CASE WHEN error IS NOT NULL THEN NULL WHEN tool_name = 'get_account_balance' THEN balance_cents / 100
-            WHEN tool_name = 'search_transactions_by_category' THEN total END AS amount_dollars FROM answers""",
-)
+            WHEN tool_name = 'search_transactions_by_category' THEN total END AS amount_dollars """
+
+
+@query("request_dispatch", s.with_(*DISPATCH) + DISPATCHED + "FROM answers")
 def request_dispatch(spark: SparkSession, folder: str) -> DataFrame:
     return requests.dispatch(
         s.requests(spark, folder), s.accounts(spark, folder), s.transactions(spark, folder)

@@ -9,7 +9,8 @@ from ledgerlake.functions.vectors import norm
 from ledgerlake.operators import bm25, cells, chunking, embeddings, requests, retrieval, vectors
 from ledgerlake.plans import standins as s
 from ledgerlake.plans.registry import query
-from ledgerlake.workspace import written
+from ledgerlake.plans.table_queries import DISPATCH, DISPATCHED
+from ledgerlake.workspace import new_folder, written
 
 _DIM = 64
 
@@ -250,11 +251,10 @@ def vector_cells_recall(spark: SparkSession, folder: str) -> DataFrame:
     exact = vectors.nearest(asked, items).select("query_id", "item_id", F.lit(1).alias("near"))
     found = index.search(asked).select("query_id", "item_id", F.lit(1).alias("hit"))
     both = exact.join(found, ["query_id", "item_id"], "left").agg(F.count("near").alias("neighbours"), F.count("hit").alias("hits"))
-    work = index.work(asked).agg(F.sum("scored").alias("scored"), F.count(F.lit(1)).alias("queries"))
-    n = F.lit(index.model.items)
-    return both.join(work).select(
-        "queries", "neighbours", (10 * F.col("hits") >= 9 * F.col("neighbours")).alias("nine_of_ten_found"),
-        (10 * F.col("scored") <= F.col("queries") * n).alias("one_of_ten_scored"),
+    scored, n = index.work(asked).agg(F.sum("scored"), F.count(F.lit(1))).first()
+    return both.select(
+        F.lit(n).alias("queries"), "neighbours", (10 * F.col("hits") >= 9 * F.col("neighbours")).alias("nine_of_ten_found"),
+        F.lit(10 * scored <= n * index.model.items).alias("one_of_ten_scored"),
     )
 
 
@@ -378,3 +378,67 @@ def policy_lookup(spark: SparkSession, folder: str) -> DataFrame:
     return answers.select("request_id", "error", F.explode_outer("results").alias("r")).select(
         "request_id", "error", F.col("r.rank").cast("bigint").alias("rank"), "r.document", "r.section", "r.relevance_score"
     )
+
+
+@query(
+    "request_dispatch_mixed",
+    s.with_(*DISPATCH, *_HYBRID, _fused(5))
+    + DISPATCHED
+    + """, CASE WHEN error IS NULL AND tool_name = 'get_account_balance' THEN status END AS status, NULL AS first_document FROM answers
+UNION ALL
+SELECT -1 - item_id, 'lookup_policy', CASE WHEN item_id % 6 = 0 THEN 'invalid_arguments' END,
+       CASE WHEN item_id % 6 > 0 THEN least(item_id % 6, n) END, NULL, NULL, CASE WHEN item_id % 6 > 0 THEN document_name END
+FROM benchmark LEFT JOIN (SELECT query_id AS item_id, count(*) AS n FROM fused GROUP BY 1) USING (item_id)
+LEFT JOIN (SELECT query_id AS item_id, document_name FROM fused JOIN chunks USING (chunk_id) WHERE rank = 1) USING (item_id)""",
+)
+def request_dispatch_mixed(spark: SparkSession, folder: str) -> DataFrame:
+    """Calls of all tools and unknown ones in one table, policy questions among them, with parts of the payload."""
+    policy = s.questions(spark, folder).select(
+        (F.lit(-1) - F.col("query_id")).alias("request_id"), F.lit("lookup_policy").alias("tool_name"), "query",
+        (F.col("query_id") % 6).cast("int").alias("max_results"),
+    )
+    asked = s.requests(spark, folder).unionByName(policy, allowMissingColumns=True)
+    answers = requests.dispatch(
+        asked, s.accounts(spark, folder), s.transactions(spark, folder), retrieval.retriever(_base(spark, folder))
+    )
+    return answers.select(
+        "request_id", "tool_name", "error", "result_count", "amount_dollars",
+        F.get_json_object("response", "$.status").alias("status"),
+        F.get_json_object("response", "$.results[0].document").alias("first_document"),
+    )
+
+
+# changing a search index --------------------------------------------------
+
+
+@query(
+    "bm25_incremental",
+    s.with_(s.DOCUMENT_CHUNKS, _BM25, _bm25_ranked(5)) + "SELECT query_id, chunk_id, score, rank FROM bm25_ranked",
+)
+def bm25_incremental(spark: SparkSession, folder: str) -> DataFrame:
+    """An index of two thirds of the documents, some of them outdated, to which the others and the new ones are added.
+
+    Its answers are those of an index that is built from all documents at once.
+    """
+    chunks = written(chunking.chunk(s.documents(spark, folder)), "chunks")
+    part = F.pmod(F.xxhash64("document_name"), F.lit(3))
+    outdated = F.when(part == 0, F.reverse("content")).otherwise(F.col("content"))
+    index = bm25.build_index(chunks.where(part < 2).withColumn("content", outdated))
+    index = bm25.add_chunks(index, chunks.where(part == 2))
+    index = bm25.add_chunks(index, chunks.where(part == 0))  # replaces the outdated ones
+    return _ranked(bm25.search(s.questions(spark, folder), index))
+
+
+@query(
+    "knowledge_base_replace",
+    s.with_(*_HYBRID, _fused(5)) + "SELECT query_id, rank, chunk_id, score FROM fused",
+)
+def knowledge_base_replace(spark: SparkSession, folder: str) -> DataFrame:
+    """A knowledge base of half the documents that is replaced by one of all: readers see the new one only."""
+    path = new_folder(spark, "knowledge-base")
+    documents = s.documents(spark, folder)
+    provider = embeddings.hashing_provider(_DIM)
+    retrieval.ingest(documents.where(F.pmod(F.xxhash64("document_name"), F.lit(2)) == 0), provider, "hashed-terms", path)
+    base = retrieval.ingest(documents, provider, "hashed-terms", path)
+    found = retrieval.hybrid(s.questions(spark, folder), base)
+    return found.select("query_id", F.col("rank").cast("bigint").alias("rank"), "chunk_id", "score")

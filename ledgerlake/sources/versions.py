@@ -7,6 +7,7 @@ counted from them. One writer at a time; use a table format where several writer
 
 from __future__ import annotations
 
+import datetime as dt
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -47,10 +48,22 @@ class VersionedTable:
 
     def versions(self) -> dict[int, str]:
         """Operation of each complete version, by number."""
+        return {version: operation for version, operation, _ in self._complete()}
+
+    def times(self) -> dict[int, dt.datetime]:
+        """When each version was complete, in UTC, by number: the time of the mark that Spark leaves."""
+        zone = dt.timezone.utc
+        return {v: dt.datetime.fromtimestamp(ms / 1000, zone).replace(tzinfo=None) for v, _, ms in self._complete()}
+
+    def version_at(self, moment: dt.datetime) -> int | None:
+        """The newest version that was complete at ``moment`` (UTC); None if none was."""
+        return max((v for v, at in self.times().items() if at <= moment), default=None)
+
+    def _complete(self) -> list[tuple[int, str, int]]:
         pattern = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/version=*/operation=*/_SUCCESS")
         found = pattern.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
-        names = [re.search(r"version=(\d+)/operation=(\w+)/", str(f.getPath().toString())) for f in found]
-        return {int(n[1]): n[2] for n in names}
+        names = [(re.search(r"version=(\d+)/operation=(\w+)/", f.getPath().toString()), f.getModificationTime()) for f in found]
+        return [(int(n[1]), n[2], ms) for n, ms in names]
 
     def current_version(self) -> int | None:
         return max(self.versions(), default=None)
@@ -63,6 +76,11 @@ class VersionedTable:
             raise LookupError(f"{self.path} has no version {'' if version is None else version}")
         return self.spark.read.parquet(self._folder(chosen, found[chosen]))
 
+    def timed_history(self) -> DataFrame:
+        """version, operation, num_rows and committed_at (UTC) of every version."""
+        times = self.spark.createDataFrame(sorted(self.times().items()), "version bigint, committed_at timestamp_ntz")
+        return self.history().join(times, "version")
+
     def history(self) -> DataFrame:
         """version, operation and number of rows of every version."""
         parts = [

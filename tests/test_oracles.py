@@ -9,6 +9,7 @@ from tests.compare import connect, differences
 
 FOLDER = "/root/testdata/sf0.001"
 PYTHON = {"bm25_topk", "vector_topk", "vector_topk_lsh", "hybrid_rrf", "retriever_compare", "policy_lookup"}
+PYTHON |= {"vector_cells_exact", "vector_cells_recall", "bm25_incremental", "knowledge_base_replace", "request_dispatch_mixed"}
 
 
 @pytest.fixture(scope="module")

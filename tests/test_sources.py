@@ -144,3 +144,21 @@ def test_jdbc_options():
     }
     with pytest.raises(ValueError):
         jdbc.Connection("jdbc:postgresql://u:p@db/bank", "u", "p").options()
+
+
+def test_versions_have_times(spark, tmp_path):
+    import datetime as dt
+    import time
+
+    table = VersionedTable(spark, str(tmp_path / "timed"))
+    before = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None) - dt.timedelta(seconds=2)
+    table.overwrite(spark.range(3).toDF("id"))
+    time.sleep(1.1)
+    between = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    time.sleep(1.1)
+    table.overwrite(spark.range(5).toDF("id"))
+    history = {r["version"]: r for r in table.timed_history().collect()}
+    assert [history[v]["num_rows"] for v in (0, 1)] == [3, 5]
+    assert before <= history[0]["committed_at"] <= between <= history[1]["committed_at"]
+    assert (table.version_at(before), table.version_at(between), table.version_at(between + dt.timedelta(days=1))) == (None, 0, 1)
+    assert table.read(table.version_at(between)).count() == 3
