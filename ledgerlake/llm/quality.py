@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerlake.llm.common import utf8
 from ledgerlake.workspace import written
@@ -211,18 +211,30 @@ def _lasso(z: np.ndarray, y: np.ndarray, constant: float) -> tuple[np.ndarray, f
     return weights, float(base)
 
 
+#: Parts that a sample is cut in, each in its own order, so that no task sends more than its share.
+SAMPLE_PARTS = 16
+
+
 def fit(measures: DataFrame, labels: DataFrame, held_out: Column | None = None, rows: int = SAMPLE) -> RuleModel:
-    """A model of the labelled rows of ``measures``, at most ``rows`` of them, by a hash of their id.
+    """A model of the labelled rows of ``measures``, at most ``rows`` of them, by a hash of id and statistics.
 
     ``labels`` has doc_id and quality; rows without either teach nothing, repeated labels of an id count
-    as their largest. Rows that ``held_out`` marks teach nothing.
+    as their largest. Rows that ``held_out`` marks teach nothing. No more than ``rows`` rows reach the driver,
+    however many tasks there are.
     """
     known = labels.where("doc_id is not null and quality is not null")
     known = known.groupBy(F.col("doc_id").alias("__id")).agg(F.max("quality").cast("int").alias("__quality"))
     usable = measures if held_out is None else measures.where(~F.coalesce(held_out, F.lit(True)))
-    drawn = usable.join(known, F.col("doc_id") == F.col("__id")).select(*STATISTICS, "__quality", F.xxhash64("doc_id").alias("__h"))
-    table = np.array(drawn.orderBy("__h").limit(rows).drop("__h").collect(), dtype=np.float64).reshape(-1, len(STATISTICS) + 1)
-    return train(table[:, :-1], table[:, -1])
+    drawn = usable.join(known, F.col("doc_id") == F.col("__id"))
+    drawn = drawn.select(F.xxhash64("doc_id", *STATISTICS).alias("__h"), *STATISTICS, "__quality")
+    n = drawn.count()
+    if n > rows:
+        share = F.lit(1.2 * rows / n)
+        first = F.row_number().over(Window.partitionBy(F.pmod("__h", F.lit(SAMPLE_PARTS))).orderBy("__h", *STATISTICS))
+        near = drawn.where(F.col("__h") / F.lit(2.0**64) + 0.5 <= share)
+        drawn = near.withColumn("__n", first).where(F.col("__n") <= rows // SAMPLE_PARTS).drop("__n")
+    table = np.array(sorted(tuple(r) for r in drawn.collect()), dtype=np.float64).reshape(-1, len(STATISTICS) + 2)
+    return train(table[:, 1:-1], table[:, -1])
 
 
 def score(measures: DataFrame, model: RuleModel, threshold: float = 0.3) -> DataFrame:
