@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerlake.llm.tokens import load, of_worker
+from ledgerlake.llm.tokens import byte_table, load, of_worker
 from ledgerlake.workspace import written
 
 #: Atoms that a worker keeps, and characters of an atom that is kept.
@@ -38,16 +38,6 @@ SHIPPED_PAIRS = 4_000_000
 _CUT = re.compile(r"(?<=\S)(?=[ \n])")
 
 
-def byte_table() -> dict[str, int]:
-    """Bytes by the printable characters that stand for them in a byte-level vocabulary.
-
-    Printable bytes of Latin-1 stand for themselves; the others follow in order from code point 256 on.
-    """
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
-
-
 class ByteLevel:
     """Tokenizer A, and the bytes of each of its ids."""
 

@@ -9,11 +9,14 @@ library as they are.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
 from array import array
 
+import numpy as np
+
 #: Words that a task keeps before the older half of them is dropped.
 KEPT_WORDS = 400_000
 #: Words of one request to the library.
@@ -53,16 +56,63 @@ class Kept:
         return now
 
 
+#: Stands behind a word as its end; no word part holds this character.
+_END = "\x7f"
+
+
+def byte_table() -> dict[str, int]:
+    """Bytes by the printable characters that stand for them in a byte-level vocabulary.
+
+    Printable bytes of Latin-1 stand for themselves; the others follow in order from code point 256 on.
+    """
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
+def word_ranks(path: str) -> dict[bytes, int] | None:
+    """Ids by bytes, with ``_END`` for the end of a word, where ids rank the merges; else None.
+
+    That holds if the ids are those of the bytes, of the bytes at a word's end, and of the merges, in this order:
+    the least id is then always the next merge, as bytes join the end of their word before anything else.
+    """
+    with open(path, encoding="utf-8") as file:
+        model = json.load(file)["model"]
+    suffix, vocabulary = model.get("end_of_word_suffix"), model["vocab"]
+    merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    if not suffix or any(vocabulary.get(a + b) != 512 + i for i, (a, b) in enumerate(merges)):
+        return None
+    table, ranks = byte_table(), {}
+    for name, i in vocabulary.items():
+        if i < 512 + len(merges):
+            stem = name.removesuffix(suffix) if i >= 256 else name
+            if any(c not in table for c in stem):
+                return None
+            ranks[bytes(table[c] for c in stem) + (_END.encode() if stem != name else b"")] = i
+    return ranks if len(ranks) == 512 + len(merges) and all(len(b) == 1 for b, i in ranks.items() if i < 256) else None
+
+
 class WordIds:
     """Ids of texts under a tokenizer that lowers case and drops white space."""
 
     def __init__(self, path: str):
         self.tokenizer = load(path)
+        ranks = word_ranks(path)
+        self.ranked = None
+        if ranks:
+            import tiktoken
+
+            pattern = f"[^{_END}]+{_END}"
+            self.ranked = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+            self.ends = np.zeros(len(ranks), dtype=bool)
+            self.ends[[i for b, i in ranks.items() if b.endswith(_END.encode()) and i >= 256]] = True
         self.parts = Kept(self._encode)
         self.words = Kept(self._assemble)
 
     def _encode(self, parts: list[str]) -> list[bytes]:
         """Ids of each part; parts that stand for one pre-token each go to the library as one text."""
+        if self.ranked is not None:
+            return self._rank(parts)
         found = []
         for begin in range(0, len(parts), REQUEST):
             some = parts[begin : begin + REQUEST]
@@ -76,6 +126,17 @@ class WordIds:
                 found += self._each(some)
         return found
 
+    def _rank(self, parts: list[str]) -> list[bytes]:
+        """Ids of each part by the ranks of its merges; a part is a pre-token of letters or of marks."""
+        found = []
+        for begin in range(0, len(parts), REQUEST):
+            some = parts[begin : begin + REQUEST]
+            ids = np.array(self.ranked.encode_ordinary(_END.join(some) + _END), dtype="<u4")
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            data = ids.tobytes()
+            found += [data[i:j] for i, j in zip([0, *cuts], cuts)]
+        return found
+
     def _each(self, texts: list[str]) -> list[bytes]:
         coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", c.ids).tobytes() for c in coded]

@@ -168,6 +168,31 @@ def test_plan_of_awkward_lengths():
     assert packing.plan(np.zeros(101, dtype=int), 100) == []
 
 
+@pytest.mark.parametrize("pieces, fewest", [
+    ({1500: 100, 600: 400, 1000: 1}, 101),
+    ({1500: 1000, 600: 4000, 1000: 10}, 1003),
+    ({1700: 900, 1100: 1800, 640: 900}, 1025),
+    ({3000: 500, 2500: 500, 1500: 500, 1000: 1500, 96: 10}, 1250),
+    ({2049: 30, 2047: 30, 1366: 5}, 33),
+])
+def test_plans_of_few_lengths_are_near_the_optimum(pieces, fewest):
+    """``fewest`` is the dual bound, rounded up, or the number of a plan by hand."""
+    histogram = np.zeros(4097, dtype=np.int64)
+    for size, n in pieces.items():
+        histogram[size] = n
+    planned = packing.plan(histogram)
+    held = Counter()
+    for chosen, times in planned:
+        assert sum(chosen) <= 4096
+        held.update({size: chosen.count(size) * times for size in set(chosen)})
+    assert held == pieces
+    total = sum(times for _, times in planned)
+    assert total <= sum(packing.best_fit(histogram).values())
+    assert total <= fewest * 1.01
+    use, bound = packing.cover(histogram)
+    assert sum(use.values()) <= (1 + 2 * packing.GAP) * bound and bound <= total
+
+
 def test_sharding(odd_docs):
     rows = sharding.shard_documents(odd_docs, 8).collect()
     texts = defaultdict(list)
@@ -234,6 +259,19 @@ def test_words_kept_between_texts_change_nothing():
         assert ids([t.encode() for t in some]) == coded
 
 
+def test_ranked_word_ids_are_the_library_ids():
+    from ledgerlake.llm import tokens
+
+    ids = tokens.WordIds(WORD)
+    assert ids.ranked is not None
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyzàéîõüß"
+    parts = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 24))) for _ in range(3000)]
+    parts += ["".join(rng.choice("!#$%&()*+,-./:;<=>?@[]^_{|}~") for _ in range(rng.randrange(1, 7))) for _ in range(500)]
+    coded = Tokenizer.from_file(WORD).encode_batch(parts, add_special_tokens=False)
+    assert ids._rank(parts) == [np.array(c.ids, dtype="<u4").tobytes() for c in coded]
+
+
 @pytest.mark.parametrize("window, phrase", [(35, 10), (5, 2), (3, 1)])
 def test_repeats(odd_docs, window, phrase):
     rows = both(odd_docs)
