@@ -398,6 +398,23 @@ def test_quality_of_odd_rows(spark, odd_docs):
     assert {r["score"] for r in nothing} == {0.5}
 
 
+def test_quality_sample_is_bounded(spark, monkeypatch):
+    """Also where a third of the rows repeat one row; fewer rows than the bound are all taken."""
+    taken = []
+    monkeypatch.setattr(quality, "train", lambda x, y: taken.append((len(x), set(y))))
+    rng = np.random.default_rng(3)
+    rows = [(i, *map(float, rng.random(len(quality.STATISTICS)))) for i in range(1200)]
+    rows += [rows[7]] * 600
+    measures = spark.createDataFrame(rows, ["doc_id", *quality.STATISTICS]).repartition(7)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1200)], "doc_id long, quality int")
+    for bound in (320, 5000):
+        quality.fit(measures, labels, rows=bound)
+    assert 160 <= taken[0][0] <= 320 and taken[0][1] == {0.0, 1.0}
+    assert taken[1][0] == 1800
+    quality.fit(measures, labels, F.col("doc_id") < 1100, rows=5000)
+    assert taken[2][0] == 100
+
+
 def test_rules_score_as_their_column(spark):
     rng = np.random.default_rng(4)
     x = rng.random((400, len(quality.STATISTICS)))
