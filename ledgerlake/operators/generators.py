@@ -58,8 +58,21 @@ def _address(seed: int, tag: str, *key: Column) -> Column:
     return F.concat_ws(" ", number.cast("string"), choice(_strings(STREETS), uniform(seed, f"{tag}-street", *key)))
 
 
+def _dealt(numbers: DataFrame) -> DataFrame:
+    """Numbers in as many partitions as a shuffle has.
+
+    A number becomes up to 120 transactions in the task that reads it, and a few megabytes of numbers are one split
+    of a file, so without this one task may generate everything. Adaptive execution leaves a given number of
+    partitions as it is; it would put so few bytes back into one.
+    """
+    spark = numbers.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return numbers.repartition(max(tasks, spark.sparkContext.defaultParallelism))
+
+
 def customers(numbers: DataFrame, as_of: dt.date, seed: int = 42) -> DataFrame:
     """(n) -> one customer per number."""
+    numbers = _dealt(numbers.select("n"))
     n = F.col("n")
     risk = uniform(seed, "risk", n)
     first, last = (

@@ -65,3 +65,10 @@ def test_changes(people):
     assert joined.filter("change_type = 'ADDRESS' and risk_rating <> old").count() == 0
     times = [r["change_timestamp"] for r in feed.collect()]
     assert times == sorted(times)
+
+
+def test_one_split_of_numbers_is_generated_by_many_tasks(spark):
+    numbers = spark.range(0, 400, 1, 1).withColumnRenamed("id", "n")
+    made = g.transactions(g.accounts(g.customers(numbers, NOW.date())), NOW)
+    sizes = [r["count"] for r in made.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    assert len(sizes) >= 4 and max(sizes) < sum(sizes) / 2
