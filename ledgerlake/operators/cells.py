@@ -44,7 +44,10 @@ SAMPLE = 4_096
 SCORED = 0.05
 #: Queries and hits that the number of probed cells is measured on.
 MEASURED = 256
+#: Queries that are scored at once, rows of probed cells that are made at once, pairs that are scored exactly at once.
 SLICE = 256
+PROBED_ROWS = 65_536
+PAIRS = 65_536
 
 _UNIT = 10**SCORE_DIGITS
 _FOUND = "query_id string, item_id string, score double, scanned long, scored long"
@@ -308,9 +311,10 @@ def _probed(queries: DataFrame, model: Model, k: int, probes: int | None) -> Dat
         model = shared.value
         directions = _units(model.centres)
         above = k if probes is None else max(k, math.ceil(SCORED * len(model.sample)))
+        step = int(max(1, min(SLICE, PROBED_ROWS // model.splits.sum())))
         for batch in batches:
-            for begin in range(0, batch.num_rows, SLICE):
-                part = batch.slice(begin, SLICE)
+            for begin in range(0, batch.num_rows, step):
+                part = batch.slice(begin, step)
                 unit = unit_rows(part.column(1))
                 scores = np.sort(unit @ model.sample.T, axis=1)
                 floors = scores[:, -above] if above <= scores.shape[1] else np.full(len(unit), -2.0)
@@ -348,7 +352,7 @@ def _in_cells(queries: DataFrame, items: DataFrame, model: Model, k: int, exact:
         asked, vectors = unit_rows(queries["embedding"]), unit_rows(items["embedding"])[by_id]
         floors, cell = queries["floor"].to_numpy(), items["cell"][0].as_py()
         codes = np.frombuffer(b"".join(items["code"].to_pylist()), dtype=np.uint8).reshape(len(item_ids), -1)[by_id]
-        columns: list[list] = [[], [], [], [], []]
+        tables = []
         for begin in range(0, len(asked), SLICE):
             part = slice(begin, begin + SLICE)
             if exact:
@@ -359,22 +363,29 @@ def _in_cells(queries: DataFrame, items: DataFrame, model: Model, k: int, exact:
             else:
                 coded = model.coded_scores(asked[part], cell, codes)
                 q, item = np.nonzero(coded >= floors[part][:, None])
-                points = np.rint(np.einsum("id,id->i", asked[part][q], vectors[item]) * _UNIT).astype(np.int64)
+                points = _pair_scores(asked[part], vectors, q, item)
                 scored = np.bincount(q, minlength=len(coded))
             order = np.lexsort((item, -points, q))
             kept = order[np.arange(len(q)) - np.searchsorted(q[order], q[order]) < k]
             some = names[part]
             none = [0] * len(kept)
-            hits = (some[q[kept]], item_ids[by_id][item[kept]], points[kept] / _UNIT, none, none)
-            done = (some, [None] * len(some), [None] * len(some), [len(vectors)] * len(some), scored.tolist())
-            for column, values in zip(columns * 2, (*hits, *done)):
-                column.extend(values)
-        return _hits(*columns)
+            tables.append(_hits(some[q[kept]], item_ids[by_id][item[kept]], points[kept] / _UNIT, none, none))
+            tables.append(_hits(some, [None] * len(some), [None] * len(some), [len(vectors)] * len(some), scored))
+        return pa.concat_tables(tables).combine_chunks()
 
     cell = ["cell", "split"]
     return queries.groupBy(*cell).cogroup(items.groupBy(*cell)).applyInArrow(score, _FOUND)
 
 
+def _pair_scores(asked: np.ndarray, vectors: np.ndarray, q: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """Whole-unit scores of (query, item) pairs, whose vectors are gathered a bounded number at a time."""
+    points = np.empty(len(q), dtype=np.int64)
+    for begin in range(0, len(q), PAIRS):
+        part = slice(begin, begin + PAIRS)
+        points[part] = np.rint(np.einsum("id,id->i", asked[q[part]], vectors[item[part]]) * _UNIT).astype(np.int64)
+    return points
+
+
 def _hits(*columns) -> pa.Table:
     types = [pa.string(), pa.string(), pa.float64(), pa.int64(), pa.int64()]
     names = ["query_id", "item_id", "score", "scanned", "scored"]

@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -93,3 +95,21 @@ def test_many_queries_do_not_pass_through_the_driver(spark, monkeypatch):
     some = "query_id % 5000 = 0"
     assert as_lists(found.where(some)) == as_lists(vectors.nearest(many.where(some), items, k=3))
     assert indexed.columns == found.columns
+
+
+def test_a_block_of_items_takes_bounded_memory():
+    """Scores of 256 queries against 40,000 items would be 82 MB a copy."""
+    rng = np.random.default_rng(3)
+    queries, items = rng.standard_normal((256, 8)), rng.standard_normal((40_000, 8))
+    ids = np.array([f"i{i:05d}" for i in range(len(items))], dtype=object)
+    hits = vectors.Hits(3)
+    tracemalloc.start()
+    hits.add(queries, ids, items)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6
+    units = np.rint(queries @ items.T * 10**6).astype(np.int64)
+    best = np.argsort(-units, axis=1, kind="stable")[:, :3]
+    assert hits.items.reshape(-1, 3).tolist() == ids[best].tolist()
+    q, item = np.arange(200_000) % 256, np.arange(200_000) % 40_000
+    assert cells._pair_scores(queries, items, q, item).tolist() == units[q, item].tolist()
