@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 
@@ -6,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlake.functions.text import content_hash
-from ledgerlake.operators import bm25, embeddings, ranking, retrieval, vectors
+from ledgerlake.operators import bm25, chunking, embeddings, ranking, retrieval, vectors
 
 WORDS = "wire fee limit card fraud report deposit mobile check account savings daily".split()
 
@@ -241,3 +242,22 @@ def test_store_embeds_each_missing_text_once(spark, rows):
     assert rows(embeddings.store_violations(fresh, "m2", 8), "rule") == [("dim",)] * 2 + [("model_id",)] * 2
     looked_up = embeddings.embed_texts(texts, stored, embeddings.table_provider(fresh), "m1")
     assert rows(looked_up, "content_hash", "embedding") == rows(fresh, "content_hash", "embedding")
+
+
+def test_hashed_vectors(spark):
+    """Slots by the digest of a term, which is taken once per term and batch and not per occurrence."""
+    words = {"h0": "aa bb aa ÉÉ", "h1": "", "h2": "x", "h3": "bb " * 50}
+    texts = spark.createDataFrame(list(words.items()), "content_hash string, text string")
+    made = embeddings.hashing_provider(8)(texts)
+    assert "md5" not in made._jdf.queryExecution().executedPlan().toString()
+    for key, vector in made.collect():
+        plain = np.zeros(8)
+        for term in [t.lower() for t in words[key].split() if len(t) > 1]:
+            plain[int(hashlib.md5(term.encode()).hexdigest()[:7], 16) % 8] += 1
+        assert vector == pytest.approx((plain / max(np.linalg.norm(plain), 1)).tolist())
+
+
+def test_chunk_names_with_nulls(spark):
+    rows = [("d", 0, -1), ("d", 3, 12), (None, 0, -1), ("e", None, 2), ("f", 1, None)]
+    places = spark.createDataFrame(rows, "document_name string, section_index int, sub_index int")
+    assert [r[0] for r in places.select(chunking.chunk_name()).collect()] == ["d#0", "d#3.12", "null#0", "e#null.2", "f#1.null"]
