@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlake.functions.text import content_hash
+from ledgerlake.functions.vectors import normalize
 from ledgerlake.operators import bm25, chunking, embeddings, ranking, retrieval, vectors
 
 WORDS = "wire fee limit card fraud report deposit mobile check account savings daily".split()
@@ -261,3 +262,11 @@ def test_chunk_names_with_nulls(spark):
     rows = [("d", 0, -1), ("d", 3, 12), (None, 0, -1), ("e", None, 2), ("f", 1, None)]
     places = spark.createDataFrame(rows, "document_name string, section_index int, sub_index int")
     assert [r[0] for r in places.select(chunking.chunk_name()).collect()] == ["d#0", "d#3.12", "null#0", "e#null.2", "f#1.null"]
+
+
+def test_the_length_of_a_vector_is_taken_once(spark):
+    """Not for each of its numbers, which is quadratic in the dimension."""
+    rows = [(0, [3.0, 4.0]), (1, [0.0, 0.0]), (2, None), (3, [1.0, None]), (4, [])]
+    units = spark.createDataFrame(rows, "i int, v array<double>").select("i", normalize(F.col("v")).alias("u"))
+    assert units._jdf.queryExecution().analyzed().toString().count("aggregate(") == 1
+    assert [tuple(r) for r in units.orderBy("i").collect()] == [(0, [0.6, 0.8]), (1, [0.0, 0.0]), (2, None), (3, [1.0, None]), (4, [])]
