@@ -87,10 +87,10 @@ def links(fps: DataFrame, max_bits: int, crowded: int = CROWDED) -> DataFrame:
     probes = probes.select("fp", "segment", F.explode("values").alias("value"))
     # few values have two or more fingerprints; only those need a join that multiplies rows
     single = counts.where("n = 1").select("segment", "value", F.col("only").alias("other"))
-    several = table.join(counts.where((F.col("n") > 1) & (F.col("n") <= crowded)), ["segment", "value"])
+    several = _exploded(table).join(counts.where((F.col("n") > 1) & (F.col("n") <= crowded)), ["segment", "value"])
     held = single.union(several.select("segment", "value", F.col("fp").alias("other")))
     marks = full.select("segment", "value", F.lit(None).cast("long").alias("other"))
-    met = probes.join(held.union(marks), ["segment", "value"])
+    met = _exploded(probes).join(held.union(marks), ["segment", "value"])
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= max_bits
     met = met.where(F.col("other").isNull() | ((F.col("fp") != F.col("other")) & near))
     met = written(met.select("fp", "other").distinct(), "simhash-met")
@@ -99,9 +99,14 @@ def links(fps: DataFrame, max_bits: int, crowded: int = CROWDED) -> DataFrame:
     return pairs.distinct().union(_through_balls(dense, max_bits))
 
 
+def _exploded(rows: DataFrame) -> DataFrame:
+    """``rows``, never broadcast: Spark sizes a table as it is before an explode, a ball as one value."""
+    return rows.hint("merge")
+
+
 def _through_balls(dense: DataFrame, max_bits: int) -> DataFrame:
     half = (max_bits + 1) // 2
-    members = dense.select("fp", F.explode(_ball(F.col("fp"), half, 64)).alias("member"))
+    members = _exploded(dense.select("fp", F.explode(_ball(F.col("fp"), half, 64)).alias("member")))
     if max_bits % 2 == 0:  # sharing a member proves the distance to be at most 2 * half = max_bits
         least = members.groupBy("member").agg(F.min("fp").alias("a"), F.max("fp").alias("z"))
         shared = members.join(least.where("a < z"), "member").where("fp > a")

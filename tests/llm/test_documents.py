@@ -14,7 +14,7 @@ from ledgerlake.llm import (
     decontamination, language, merkle, packing, phrases, quality, secret_scan, sharding, simhash, token_counts,
 )
 from ledgerlake.llm.common import components, held_out, numbered
-from ledgerlake.workspace import new_folder
+from ledgerlake.workspace import new_folder, written
 from tests.llm import plain
 
 BYTE, WORD = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
@@ -112,6 +112,22 @@ def test_links_are_complete(spark, bits, crowded):
         assert {found.get(m, m) for m in members} == {min(members)}
 
 
+@pytest.mark.parametrize("bits", [2, 3])
+def test_links_broadcast_no_exploded_table(spark, monkeypatch, bits):
+    """Spark sizes a ball as one value, so it takes the tables here for small ones, as it does balls of many more."""
+    plans = []
+
+    def noted(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, label)
+
+    monkeypatch.setattr(simhash, "written", noted)
+    made = simhash.links(spark.range(200).select(F.xxhash64("id").alias("fp")), bits, crowded=3)
+    plans.append(made._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) == 3 and "SortMergeJoin" in plans[1] and "SortMergeJoin" in plans[2]
+    assert not any("Broadcast" in plan for plan in plans)
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.range(1, 200).selectExpr("id as a", "id + 1 as b").unionByName(spark.createDataFrame([(500, 501)], "a long, b long"))
     found = {r["node"]: r["root"] for r in components(links, "a", "b", "chain").collect()}
