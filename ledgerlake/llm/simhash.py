@@ -164,7 +164,8 @@ def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
     only where their whole group has none. All columns are kept.
     """
     prints = written(fingerprints(docs.select("doc_id", "text"), shingle).select("doc_id", "fp"), "simhash-docs")
-    named = prints.join(near_groups(prints, max_bits), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    # not broadcast: hashed rows take ten times the files that Spark sizes them by
+    named = prints.hint("merge").join(near_groups(prints, max_bits), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     chosen = named.groupBy("root").agg(F.min("fp").alias("__fp"), F.min("doc_id").alias("__id"))
 
     def work(rows: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 import public_tokenizers
 from ledgerlake.llm import (
     decontamination, language, merkle, packing, phrases, quality, secret_scan, sharding, simhash, token_counts,
@@ -128,6 +129,22 @@ def test_links_broadcast_no_exploded_table(spark, monkeypatch, bits):
     assert not any("Broadcast" in plan for plan in plans)
 
 
+def test_near_duplicates_of_the_pipeline_broadcast_no_fingerprints(spark, odd_docs, monkeypatch):
+    """Fingerprints and their balls are rows by the document, which a broadcast would bring to the driver."""
+    plans = {}
+
+    def noted(df, label):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return written(df, label)
+
+    monkeypatch.setattr(simhash, "written", noted)
+    made = corpus_pipeline.near_duplicates(spark, odd_docs, "")
+    assert "SortMergeJoin" in plans["simhash-met"] and "Broadcast" not in plans["simhash-met"]
+    joins = [line for line in made._jdf.queryExecution().executedPlan().toString().split("\n") if "Join " in line]
+    named = [line for line in joins if "component_id" in line]
+    assert named and all("SortMergeJoin" in line for line in named)
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.range(1, 200).selectExpr("id as a", "id + 1 as b").unionByName(spark.createDataFrame([(500, 501)], "a long, b long"))
     found = {r["node"]: r["root"] for r in components(links, "a", "b", "chain").collect()}
