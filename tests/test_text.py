@@ -96,3 +96,14 @@ def test_counts_and_previews(spark, rows):
     assert rows(chunking.chunk_counts(made)) == [("a", 2), ("b", 1)]
     assert rows(chunking.corpus_totals(made)) == [(3, 2)]
     assert rows(chunking.first_chunks(made)) == [("a", "a#1", "X", "é" * 150, 200), ("b", "b#0", "Introduction", "é" * 150, 200)]
+
+
+def test_texts_are_split_once_and_not_copied_with_their_chunks(spark):
+    """Lambdas evaluate what they are given for every element, and an explode copies every column that is kept."""
+    docs = spark.createDataFrame([("a", "one\n\n" * 600), ("b", "two")], "document_name string, text string")
+    packed = docs.select(chunking.pack(chunking.paragraphs(F.col("text"))).alias("texts"))
+    assert packed._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    plan = chunking.chunk(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 2
+    above = plan.split("Generate ")[0]
+    assert "content#" in above and "body#" not in above
